@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import ChunkEncoder, gather
 from tessera.llm.common import documents, slices, whole_text
 
 #: White space, as the split pattern means it; the split pattern of byte-level BPE.
@@ -82,19 +82,32 @@ class BpeModel:
         pieces[0] = LITERAL + pieces[0]
         return pieces
 
-    def encode_chunks(self, pieces: list[str]) -> list[np.ndarray]:
-        words: dict[str, int] = {}
-        parts = []
+    def encode_chunks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, flat, and how many each has: the pieces' distinct words are merged together."""
+        numbers: dict[str, int] = {}
+        used, counts, special = [], [], []
+        skip = len(LITERAL)
         for p in pieces:
-            if p.endswith(LITERAL) and p[: -len(LITERAL)] in self.added:
-                parts.append(self.added[p[: -len(LITERAL)]])
-                continue
-            text = p[len(LITERAL) :] if p.startswith(LITERAL) else p if p[:1] == "\n" else " " + p
-            parts.append([words.setdefault(w, len(words)) for w in _FIND(text)])
-        ids, ends = self.merge([w.encode() for w in words])
-        each = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        none = np.empty(0, np.int32)
-        return [np.array([x], np.int32) if isinstance(x, int) else each[x[0]] if len(x) == 1 else np.concatenate([each[i] for i in x]) if x else none for x in parts]
+            if p.startswith(LITERAL):
+                words = _FIND(p[skip:])
+            elif p.endswith(LITERAL) and p[:-skip] in self.added:
+                words = [p]
+                special.append(p)
+            else:
+                words = _FIND(p if p[:1] == "\n" else " " + p)
+            counts.append(len(words))
+            used += words
+        for w in used:
+            numbers.setdefault(w, len(numbers))
+        ids, ends = self.merge([b"" if w in special else w.encode() for w in numbers])
+        start, size = ends[:-1], np.diff(ends)
+        for w in set(special):
+            start[numbers[w]], size[numbers[w]] = len(ids), 1
+            ids = np.append(ids, np.int32(self.added[w[:-skip]]))
+        at = np.fromiter(map(numbers.__getitem__, used), np.int64, len(used))
+        totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[at])])
+        last = np.cumsum(np.array(counts, np.int64))
+        return gather(ids, start[at], size[at]), np.diff(totals[last], prepend=0)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word, flat, and their ends.

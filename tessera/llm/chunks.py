@@ -11,13 +11,13 @@ from collections.abc import Callable
 import numpy as np
 
 #: A cache beyond one of these is emptied before the next texts.
-CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 400_000, 12_000_000, 4_000_000
+CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 800_000, 12_000_000, 4_000_000
 
 
 class ChunkEncoder:
-    """ids of texts. split: a text's pieces; encode: the ids of each of several pieces."""
+    """ids of texts. split: a text's pieces; encode: the ids of several pieces, flat, and how many each has."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.split, self.encode = split, encode
         self._clear()
 
@@ -31,18 +31,16 @@ class ChunkEncoder:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
 
     def _add(self, chunks: list[str]) -> None:
-        ids = self.encode(chunks)
-        n, k = sum(map(len, ids)), len(self.index)
+        ids, sizes = self.encode(chunks)
+        n, k, m = len(ids), len(self.index), len(chunks)
         self.flat = self._grown(self.flat, self.used + n)
-        self.start, self.size = self._grown(self.start, k + len(ids)), self._grown(self.size, k + len(ids))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.size[k : k + len(ids)] = sizes
-        self.start[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        if n:
-            self.flat[self.used : self.used + n] = np.concatenate(ids)
+        self.start, self.size = self._grown(self.start, k + m), self._grown(self.size, k + m)
+        self.size[k : k + m] = sizes
+        self.start[k : k + m] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + n] = ids
         self.used += n
         self.chars += sum(map(len, chunks))
-        self.index.update(zip(chunks, range(k, k + len(ids)), strict=True))
+        self.index.update(zip(chunks, range(k, k + m), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids start (one more entry: the end)."""
@@ -55,9 +53,14 @@ class ChunkEncoder:
             ends[i + 1] = len(pieces)
         new = set(pieces).difference(self.index)
         if new:
-            self._add(sorted(new))
+            self._add(list(new))
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         size = self.size[at]
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[at] - stop[:-1], size) + np.arange(stop[-1])] if len(at) else np.empty(0, np.int32)
-        return ids, stop[ends]
+        return gather(self.flat, self.start[at], size), stop[ends]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at start, one after another."""
+    stop = np.cumsum(size)
+    return flat[np.repeat(start - stop + size, size) + np.arange(stop[-1])] if len(stop) else flat[:0]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import bpe, exact_dedup, packing, pii
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
