@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, packing, pii
+from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii
 
 QUERIES = {
+    "op3_gif": gif.op3_gif,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
+    "op10_html": html_extract.op10_html,
 }
 
 ORACLES = {
