@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii
+from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii, quality
 
 QUERIES = {
     "op3_gif": gif.op3_gif,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
+    "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_html": html_extract.op10_html,
