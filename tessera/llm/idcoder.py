@@ -23,10 +23,14 @@ MAGIC = b"CMB1"
 #: Most lanes of a block, and the fewest ids a lane should have.
 LANES, LANE_IDS = 8192, 64
 _HASH_BITS, _CONF = 18, 7
+_ID_BITS = np.int32(24)
+_ID_MASK = np.int32((1 << 24) - 1)
+_K1, _K2 = np.int32(-1640531535), np.int32(668265263)
 _MIX_BITS = 12
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
-_HEADER = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, checksum of the ids, of the body
+_HEADER = struct.Struct("<4sIIII")  # magic, ids, vocabulary, lanes, checksum of the ids
+_CHECK = struct.Struct("<I")  # of the header and the body
 
 
 class Corrupt(ValueError):
@@ -35,18 +39,17 @@ class Corrupt(ValueError):
 
 class _Model:
     def __init__(self, vocabulary: int, lanes: int):
+        if vocabulary > 1 << 24:
+            raise ValueError("ids of more than 24 bits")
         self.lanes = lanes
-        self.next1 = np.zeros(vocabulary, np.int32)
-        self.conf1 = np.zeros(vocabulary, np.int8)
-        self.next2 = np.zeros(1 << _HASH_BITS, np.int32)
-        self.conf2 = np.zeros(1 << _HASH_BITS, np.int8)
+        self.table1 = np.zeros(vocabulary, np.int32)  # id and, above it, confidence
+        self.table2 = np.zeros(1 << _HASH_BITS, np.int32)
         self.counts = np.ones(vocabulary, np.int64)
         self.seen: list[np.ndarray] = []
         self.step, self.refresh = 0, 1
-        n = (_CONF + 1) * (_CONF + 1)
-        self.outcomes = np.tile(np.array([1, 1, 2], np.int64), (2 * n, 1))
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.outcomes = np.tile(np.array([1, 1, 2], np.int64), (2 * (_CONF + 1) ** 2, 1))
+        self.last1 = np.zeros(lanes, np.int32)
+        self.last2 = np.zeros(lanes, np.int32)
         self._cumulate()
 
     def _cumulate(self) -> None:
@@ -61,10 +64,10 @@ class _Model:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each lane's order-2 and order-1 ids, and where their shares of the mixture end."""
-        self.slot = ((self.last2 * 0x9E3779B1 ^ self.last1 * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        self.p2, self.p1 = self.next2[self.slot], self.next1[self.last1]
-        self.c2, self.c1 = self.conf2[self.slot], self.conf1[self.last1]
-        self.bucket = ((self.c2.astype(np.int64) * (_CONF + 1) + self.c1) << 1) | (self.p1 == self.p2)
+        self.slot = (self.last2 * _K2 ^ self.last1 * _K1) >> np.int32(31 - _HASH_BITS) & np.int32((1 << _HASH_BITS) - 1)
+        self.held2, self.held1 = self.table2[self.slot], self.table1[self.last1]
+        self.p2, self.p1 = self.held2 & _ID_MASK, self.held1 & _ID_MASK
+        self.bucket = (self.held2 >> _ID_BITS << np.int32(4)) | (self.held1 >> _ID_BITS << np.int32(1)) | (self.p1 == self.p2)
         share = 1 + self.outcomes * ((1 << _MIX_BITS) - 3) // self.outcomes.sum(1, keepdims=True)
         end2 = share[:, 0]
         end1 = end2 + share[:, 1]
@@ -76,10 +79,10 @@ class _Model:
         self.outcomes += found.reshape(self.outcomes.shape)
         full = self.outcomes.sum(1) > 1 << 14
         self.outcomes[full] = (self.outcomes[full] + 1) >> 1
-        for table, conf, at, guess, held in ((self.next2, self.conf2, self.slot, self.p2, self.c2), (self.next1, self.conf1, self.last1, self.p1, self.c1)):
-            hit = guess == ids
-            conf[at] = np.where(hit, np.minimum(held + 1, _CONF), held >> 1)
-            table[at] = np.where(hit | (held > 1), guess, ids)
+        one, miss = np.int32(1 << _ID_BITS), np.int32(_CONF) << _ID_BITS
+        for table, at, guess, held in ((self.table2, self.slot, self.p2, self.held2), (self.table1, self.last1, self.p1, self.held1)):
+            less = held >> np.int32(1) & miss  # half the confidence
+            table[at] = np.where(guess == ids, np.where(held < miss, held + one, held), less | np.where(held >= one + one, guess, ids))
         self.seen.append(ids[order == 2])
         self.last2, self.last1 = self.last1, ids
         self.step += 1
@@ -93,14 +96,18 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _sealed(header: bytes, body: bytes) -> bytes:
+    return header + _CHECK.pack(zlib.crc32(body, zlib.crc32(header))) + body
+
+
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """ids (each below vocabulary) as one block."""
     n = len(ids)
     checksum = zlib.crc32(ids.astype("<u4").tobytes())
     if not n:
-        return _HEADER.pack(MAGIC, 0, vocabulary, 0, checksum, zlib.crc32(b""))
+        return _sealed(_HEADER.pack(MAGIC, 0, vocabulary, 0, checksum), b"")
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     columns = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary, lanes)
@@ -146,19 +153,19 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     lane = np.concatenate(out_lane).astype(np.uint16)
     words = np.concatenate(out_word)[np.argsort(lane, kind="stable")]
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words.astype("<u2").tobytes()
-    return _HEADER.pack(MAGIC, n, vocabulary, lanes, checksum, zlib.crc32(body)) + body
+    return _sealed(_HEADER.pack(MAGIC, n, vocabulary, lanes, checksum), body)
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; Corrupt if a checksum fails."""
-    if len(block) < _HEADER.size:
+    if len(block) < _HEADER.size + _CHECK.size:
         raise Corrupt("a block ends within its header")
-    magic, n, vocabulary, lanes, checksum, of_body = _HEADER.unpack_from(block)
-    body = memoryview(block)[_HEADER.size :]
-    if magic != MAGIC or zlib.crc32(body) != of_body:
+    magic, n, vocabulary, lanes, checksum = _HEADER.unpack_from(block)
+    body = memoryview(block)[_HEADER.size + _CHECK.size :]
+    if magic != MAGIC or (zlib.crc32(body, zlib.crc32(block[: _HEADER.size])),) != _CHECK.unpack_from(block, _HEADER.size):
         raise Corrupt("a block's bytes are damaged")
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     steps = -(-n // lanes)
     each = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     words = np.append(np.frombuffer(body, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(8, np.uint64))
@@ -169,7 +176,7 @@ def decode_block(block: bytes) -> np.ndarray:
         at = at + 1
     model = _Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.empty((steps, lanes), np.int64)
+    out = np.empty((steps, lanes), np.int32)
 
     def shrink(who: np.ndarray | None, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
         nonlocal low, span
@@ -200,7 +207,7 @@ def decode_block(block: bytes) -> np.ndarray:
         start = np.where(order == 0, 0, np.where(order == 1, end2, end1))
         stop = np.where(order == 0, end2, np.where(order == 1, end1, whole))
         shrink(None, start, stop - start, unit)
-        x = np.where(order == 0, p2, p1).astype(np.int64)
+        x = np.where(order == 0, p2, p1)
         rest = np.flatnonzero(order == 2)
         if len(rest):
             unit = span[rest] // np.uint64(model.total)

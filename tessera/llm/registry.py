@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii, quality
+from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii, quality, token_files
 
 QUERIES = {
     "op3_gif": gif.op3_gif,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_files": token_files.op8_token_files,
     "op9_bpe": bpe.op9_bpe,
     "op10_html": html_extract.op10_html,
 }
