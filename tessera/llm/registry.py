@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, gif, html_extract, packing, pii, quality, token_files
+from tessera.llm import bpe, exact_dedup, gif, html_extract, near_dedup, packing, pii, quality, token_files
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_gif": gif.op3_gif,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
