@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, gif, html_extract, near_dedup, packing, pii, quality, token_files
+from tessera.llm import bpe, exact_dedup, gif, html_extract, license_scan, near_dedup, packing, pii, quality, token_files
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_licenses": license_scan.op2_licenses,
     "op3_gif": gif.op3_gif,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_licenses": license_scan.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
