@@ -184,6 +184,25 @@ def detect_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, SCHEMA)
 
 
+def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs, all columns, with every span of its texts redacted and n_chars, if there is one, counted anew where
+    the text changed. Null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            at = b.schema.get_field_index(text)
+            before = b.column(at).to_pylist()
+            after = [redact(t, find_pii(t)) if t else t for t in before]
+            columns = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            columns[text] = pa.array(after, b.column(at).type)
+            if n_chars in columns:
+                counts = [len(y) if x != y else n for x, y, n in zip(before, after, columns[n_chars].to_pylist(), strict=True)]
+                columns[n_chars] = pa.array(counts, columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
