@@ -293,9 +293,10 @@ def scan_time_window(spark, d):
 
 @query(f"""WITH w AS (SELECT seq, stamp_ns, count(*) OVER w AS n, avg(a) OVER w AS m, var_pop(a) OVER w AS v FROM ({IMU_SQL})
   WINDOW w AS (PARTITION BY seq ORDER BY stamp_ns ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-  SELECT seq, min(stamp_ns) AS stamp_ns, round(arg_min(m, stamp_ns), 3) AS mean_a, round(arg_min(v, stamp_ns), 3) AS var_a FROM w WHERE n = 20 AND v <= 2500 GROUP BY seq""")
+  SELECT seq, min(stamp_ns) AS stamp_ns, round(arg_min(m, stamp_ns), 4) AS mean_a, round(arg_min(v, stamp_ns), 8) AS var_a FROM w WHERE n = 20 AND v <= 2500 GROUP BY seq""")
 def static_init_window(spark, d):
-    return _rounded(inertial.first_static(imu(spark, d), ["seq"], "stamp_ns", 20, 2500.0, 0.0, accel=("a",), gyro=()), "mean_a", "var_a", digits=3)
+    found = inertial.first_static(imu(spark, d), ["seq"], "stamp_ns", 20, 2500.0, 0.0, accel=("a",), gyro=())
+    return _rounded(_rounded(found, "mean_a", digits=4), "var_a", digits=8)
 
 
 _STEP_SQL = f"SELECT *, (stamp_ns - lag(stamp_ns) OVER w) / 1e9 AS dt, (a + lag(a) OVER w) / 2 AS mid FROM ({IMU_SQL}) WINDOW w AS (PARTITION BY seq ORDER BY stamp_ns)"
