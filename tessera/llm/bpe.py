@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkEncoder, gather
+from tessera.llm.chunks import ChunkEncoder, cut_marks, gather
 from tessera.llm.common import documents, slices, whole_text
 
 #: White space, as the split pattern means it; the split pattern of byte-level BPE.
@@ -78,7 +78,7 @@ class BpeModel:
             return out + self.split(text[done:])
         if _TWO_SPACES(text):
             return [LITERAL + x for x in _FIND(text)]
-        pieces = text.replace("\n", " \n").split(" ")
+        pieces = cut_marks(text.replace("\n", " \n"), LITERAL).split(" ")
         pieces[0] = LITERAL + pieces[0]
         return pieces
 

@@ -7,6 +7,7 @@ distinct piece is encoded once per worker. What remains per text is one dictiona
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -51,10 +52,11 @@ class ChunkEncoder:
         for i, t in enumerate(texts):
             pieces += self.split(t)
             ends[i + 1] = len(pieces)
-        new = set(pieces).difference(self.index)
-        if new:
-            self._add(list(new))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._add(sorted({pieces[i] for i in missing}))
+            at[missing] = [self.index[pieces[i]] for i in missing]
         size = self.size[at]
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         return gather(self.flat, self.start[at], size), stop[ends]
@@ -64,3 +66,15 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at start, one after another."""
     stop = np.cumsum(size)
     return flat[np.repeat(start - stop + size, size) + np.arange(stop[-1])] if len(stop) else flat[:0]
+
+
+def cut_marks(text: str, prefix: str) -> str:
+    """text with " " + prefix before each comma or full stop that ends a word before a space, so that words are
+    pieces without them. Split patterns end a token between a letter or digit and such a mark; where something
+    else stands before one, those marks stay as they are throughout the text."""
+    for mark in (", ", ". "):
+        if mark in text:
+            parts = text.split(mark)
+            if all(p[-1:].lower().isalnum() for p in parts[:-1]):
+                text = f" {prefix}{mark}".join(parts)
+    return text

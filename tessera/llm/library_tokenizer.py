@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import ChunkEncoder, cut_marks
 
 #: Pieces that one call of the library gets, joined by a special token that no piece holds.
 JOINED = 1000
@@ -15,7 +15,7 @@ JOINED = 1000
 
 def _white_space_pieces(text: str) -> list[str]:
     """Cuts for a tokenizer that drops white space: no token crosses a space or a line break."""
-    return text.replace("\n", " ").split(" ")
+    return cut_marks(text.replace("\n", " "), "").split(" ")
 
 
 @lru_cache(maxsize=2)
