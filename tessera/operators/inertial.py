@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators.timejoin import BUCKET, running_sums
+from tessera.operators.timejoin import BUCKET, POSE, pose_interpolate, running_sums
 
 GYRO, ACCEL = ("wx", "wy", "wz"), ("ax", "ay", "az")
 
@@ -111,3 +113,59 @@ def multiplex(streams: dict[str, DataFrame], columns: Sequence[str]) -> DataFram
         rows = df.select(F.lit(tag).alias("stream"), *columns)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def deskew(points: DataFrame, poses: DataFrame, by: Sequence[str], scan: Sequence[str], extrinsic: tuple | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Points (by, scan, stamp_ns, t_offset_ns, x, y, z in the lidar frame) moved to where the lidar was at their scan's end,
+    by the poses of the body (by, t_ns, px.., qw..) interpolated on SE(3) at each point's time and at the scan's end.
+
+    extrinsic: (rotation, shift) from the lidar to the body. Poses are looked up once per distinct time of a scan.
+    """
+    matrix, shift = extrinsic or (((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), (0.0, 0.0, 0.0))
+    timed = points.withColumn("t_ns", F.col("stamp_ns") + F.col("t_offset_ns"))
+    ends = timed.groupBy(*by, *scan).agg(F.max("t_ns").alias("t_ns"))
+    pose = {f"r_{n}": n for n in POSE}
+    at_end = pose_interpolate(ends, poses, by, "t_ns", bucket).select(*by, *scan, *(F.col(n).alias(r) for r, n in pose.items()))
+    times = timed.select(*by, "t_ns").distinct()
+    at_time = pose_interpolate(times, poses, by, "t_ns", bucket)
+    rows = timed.join(at_time, [*by, "t_ns"]).join(at_end, [*by, *scan])
+    body = c.rigid(c.rotation(matrix), c.vector("x", "y", "z"), c.literal(shift))
+    q, p = c.vector("qw", "qx", "qy", "qz"), c.vector("px", "py", "pz")
+    rq, rp = c.vector("r_qw", "r_qx", "r_qy", "r_qz"), c.vector("r_px", "r_py", "r_pz")
+    world = [a + b for a, b in zip(c.quat_rotate(q, body), p, strict=True)]
+    back = c.quat_rotate(c.quat_conjugate(rq), [a - b for a, b in zip(world, rp, strict=True)])
+    transposed = [[matrix[j][i] for j in range(3)] for i in range(3)]
+    moved = c.rigid(c.rotation(transposed), [a - s for a, s in zip(back, c.literal(shift), strict=True)], c.literal((0, 0, 0)))
+    return rows.select(*points.columns, *(m.alias(f"d{a}") for m, a in zip(moved, "xyz", strict=True)))
+
+
+#: Columns of a propagated state.
+STATE = "px double, py double, pz double, qw double, qx double, qy double, qz double, vx double, vy double, vz double"
+
+
+def propagate(samples: DataFrame, by: str, on: str = "stamp_ns", gravity: float = 9.81) -> DataFrame:
+    """The pose and velocity at every sample, from rest at the origin with gravity down: the ordered, non-commutative fold.
+
+    One shuffle by the sequence; tasks stream their sequences' samples in order and hold one state.
+    """
+    from tessera.functions.manifold import State, quat_of
+    from tessera.streaming.filter import propagate as step
+
+    schema = f"{by} {dict(samples.dtypes)[by]}, {on} bigint, {STATE}"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, stamp, last = None, None, 0, None
+        for batch in batches:
+            rows = []
+            for k, t, *m in batch[[by, on, *GYRO, *ACCEL]].itertuples(index=False):
+                m = np.array(m, float)
+                if k != key:
+                    key, state = k, State(g=np.array([0.0, 0.0, -gravity]))
+                else:
+                    state = step(state, last, m, (t - stamp) * 1e-9)
+                stamp, last = t, m
+                rows.append((k, t, *state.p, *quat_of(state.R), *state.v))
+            yield pd.DataFrame(rows, columns=names)
+
+    return samples.repartition(by).sortWithinPartitions(by, on).mapInPandas(run, schema)

@@ -81,34 +81,41 @@ def pose_interpolate(left: DataFrame, poses: DataFrame, by: Sequence[str], on: s
     With a, b the neighbours and (w, u) the twist log(a^-1 b): rotation a exp(alpha w); position follows the screw.
     """
     found = _neighbours(left, poses, by, on, POSE, bucket, ("before", "after"))
-    a, b = F.coalesce("before", "after"), F.coalesce("after", "before")
+    rows = found.withColumns({"_a": F.coalesce("before", "after"), "_b": F.coalesce("after", "before")}).drop("before", "after")
+
+    def named(df: DataFrame, name: str, made: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
+        """Each step becomes columns: expressions that used one another in full would grow without bound."""
+        names = [f"_{name}{i}" for i in range(len(made))]
+        return df.withColumns(dict(zip(names, made, strict=True))), c.vector(*names)
+
+    a, b = F.col("_a"), F.col("_b")
     span = (b["t"] - a["t"]).cast("double")
-    alpha = c.clamp(F.when(span > 0, (F.col(on) - a["t"]).cast("double") / span).otherwise(0.0), 0.0, 1.0)
+    rows, (alpha,) = named(rows, "alpha", [c.clamp(F.when(span > 0, (F.col(on) - a["t"]).cast("double") / span).otherwise(0.0), 0.0, 1.0)])
     qa, qb = ([x[k] for k in POSE[3:]] for x in (a, b))
     pa, pb = ([x[k] for k in POSE[:3]] for x in (a, b))
-    turn = c.quat_multiply(c.quat_conjugate(qa), qb)
+    rows, turn = named(rows, "turn", c.quat_multiply(c.quat_conjugate(qa), qb))
     sign = F.when(turn[0] < 0, -1.0).otherwise(1.0)
-    turn = [sign * x for x in turn]
-    sine = c.norm(turn[1:])
-    angle = 2.0 * F.atan2(sine, turn[0])
+    rows, turn = named(rows, "short", [sign * x for x in turn])
+    rows, (sine,) = named(rows, "sine", [c.norm(turn[1:])])
+    rows, (angle,) = named(rows, "angle", [2.0 * F.atan2(sine, turn[0])])
     still = angle < 1e-9
-    axis = [F.when(still, 0.0).otherwise(x / sine) for x in turn[1:]]
-    move = c.quat_rotate(c.quat_conjugate(qa), [y - x for x, y in zip(pa, pb, strict=True)])
+    rows, axis = named(rows, "axis", [F.when(still, 0.0).otherwise(x / sine) for x in turn[1:]])
+    rows, move = named(rows, "move", c.quat_rotate(c.quat_conjugate(qa), [y - x for x, y in zip(pa, pb, strict=True)]))
     # V(angle)^-1 move is the twist's linear part; V(alpha angle) of alpha times it is the position
     half = angle / 2.0
-    k = F.when(still, 1.0 / 12.0).otherwise((1.0 - half * F.cos(half) / F.sin(half)) / (angle * angle))
+    rows, (k,) = named(rows, "k", [F.when(still, 1.0 / 12.0).otherwise((1.0 - half * F.cos(half) / F.sin(half)) / (angle * angle))])
     w = [angle * x for x in axis]
-    once = c.cross(w, move)
-    linear = [m - 0.5 * x + k * y for m, x, y in zip(move, once, c.cross(w, once), strict=True)]
+    rows, once = named(rows, "once", c.cross(w, move))
+    rows, linear = named(rows, "linear", [m - 0.5 * x + k * y for m, x, y in zip(move, once, c.cross(w, once), strict=True)])
     part = alpha * angle
     v1 = F.when(still, 0.0).otherwise((1.0 - F.cos(part)) / angle)
     v2 = F.when(still, 0.0).otherwise(alpha - F.sin(part) / angle)
-    turned = c.cross(axis, linear)
-    shift = [alpha * m + v1 * x + v2 * y for m, x, y in zip(linear, turned, c.cross(axis, turned), strict=True)]
-    position = [x + y for x, y in zip(pa, c.quat_rotate(qa, shift), strict=True)]
+    rows, turned = named(rows, "turned", c.cross(axis, linear))
+    rows, shift = named(rows, "shift", [alpha * m + v1 * x + v2 * y for m, x, y in zip(linear, turned, c.cross(axis, turned), strict=True)])
     sin_half = F.sin(part / 2.0)
-    q = c.quat_normalise(c.quat_multiply(qa, [F.cos(part / 2.0), *(sin_half * x for x in axis)]))
-    return found.select(*left.columns, *(x.alias(n) for n, x in zip(POSE, [*position, *q], strict=True)))
+    rows, raw = named(rows, "q", c.quat_multiply(qa, [F.cos(part / 2.0), *(sin_half * x for x in axis)]))
+    position = [x + y for x, y in zip(pa, c.quat_rotate(qa, shift), strict=True)]
+    return rows.select(*left.columns, *(x.alias(n) for n, x in zip(POSE, [*position, *c.quat_normalise(raw)], strict=True)))
 
 
 def nearest_time(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, payload: Sequence[str], tolerance: int, bucket: int = BUCKET) -> DataFrame:

@@ -470,3 +470,53 @@ def tum_format(spark, d):
 
     rows = cloud(spark, d).select("vec_id", (F.col("vec_id") * F.lit(1_000_000_000)).alias("t_ns"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     return tum.lines(rows.withColumns({"qw": F.lit(1.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0)}), keep=("vec_id",))
+
+
+# --- sequential operators over synthetic scenes (no SQL twin) ------------------------------------------------------
+
+
+@query()
+def ekf_replay(spark, d):
+    """The whole filter over two sequences of a room at rest; independent of the tables."""
+    from tessera.params import Init, Params, Preprocess
+    from tessera.plans import scenes
+    from tessera.streaming.replay import replay, sensor_rows
+
+    rows = sensor_rows(scenes.still_samples(spark, 2, 2.2), scenes.room_scans(spark, 2, 8))
+    params = Params(lidar_time_offset_sec=0.0, preprocess=Preprocess(0.25), init=Init(gravity_magnitude=9.81))
+    return _rounded(replay(rows, params), "px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz")
+
+
+@query()
+def propagate_rest(spark, d):
+    from tessera.plans import scenes
+
+    return _rounded(inertial.propagate(scenes.still_samples(spark, 3, 1.0), "seq"), "px", "py", "pz", "vx", "vy", "vz")
+
+
+@query()
+def deskew_scan(spark, d):
+    """A room scan from a body that moves along x at 1 m/s, brought to the scan's end."""
+    from tessera.plans import scenes
+
+    poses = scenes.still_samples(spark, 1, 2.0).select("seq", F.col("stamp_ns").alias("t_ns"), (F.col("stamp_ns") * 1e-9).alias("px"), *(F.lit(v).alias(n) for n, v in (("py", 0.0), ("pz", 0.0), ("qw", 1.0), ("qx", 0.0), ("qy", 0.0), ("qz", 0.0))))
+    out = inertial.deskew(scenes.room_scans(spark, 1, 1), poses, ["seq"], ["scan_id"])
+    return _rounded(out.select("pt_idx", "dx", "dy", "dz"), "dx", "dy", "dz")
+
+
+def _as_sql(name: str, expression: str) -> None:
+    ORACLES[name] = expression
+
+
+_as_sql(
+    "propagate_rest",
+    """SELECT 's' || CAST(s AS VARCHAR) AS seq, k * 5000000 AS stamp_ns, 0.0 AS px, 0.0 AS py, 0.0 AS pz, 1.0 AS qw, 0.0 AS qx, 0.0 AS qy, 0.0 AS qz, 0.0 AS vx, 0.0 AS vy, 0.0 AS vz
+    FROM range(3) a(s), range(200) b(k)""",
+)
+_as_sql(
+    "deskew_scan",
+    """WITH p AS (SELECT CAST(k AS INT) AS pt_idx, k // 81 AS face, k % 9 - 4.0 AS a, (k % 81) // 9 - 4.0 AS b, (k * 99000000) // 486 AS o FROM range(486) r(k)),
+    q AS (SELECT *, CASE WHEN face % 2 = 0 THEN -5.0 ELSE 5.0 END AS far, max(o) OVER () - o AS late FROM p)
+    SELECT pt_idx, round(CASE WHEN face // 2 = 0 THEN far ELSE a END - late * 1e-9, 6) + 0.0 AS dx,
+    CASE WHEN face // 2 = 1 THEN far WHEN face // 2 = 0 THEN a ELSE b END + 0.0 AS dy, CASE WHEN face // 2 = 2 THEN far ELSE b END + 0.0 AS dz FROM q""",
+)
