@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import documents, whole_text, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of one row each. A window that holds THRESHOLD of a template has a Jaccard similarity with it of at least
@@ -122,7 +122,8 @@ def scan_licenses(
         return spark.createDataFrame([], RESULT)
     anchors = sorted({x for r in known for x in r["anchors"]})
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), shingled(whole_text(text)).alias("s"))
-    rows = rows.filter(F.arrays_overlap("s", _bigints(anchors)))
+    # few texts hold an anchor: they are written once, and each shape of window reads only them
+    rows = written(rows.filter(F.arrays_overlap("s", _bigints(anchors))), "license-texts")
     out = None
     for shape in sorted({window_of(len(r["shingles"])) for r in known}):
         length, stride = shape
