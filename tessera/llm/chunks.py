@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 
 #: A cache beyond one of these is emptied before the next texts.
-CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 800_000, 12_000_000, 4_000_000
+CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 600_000, 10_000_000, 3_000_000
 
 
 class ChunkEncoder:
@@ -26,7 +26,7 @@ class ChunkEncoder:
         self.index: dict[str, int] = {}
         self.chars = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.size = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
@@ -57,7 +57,7 @@ class ChunkEncoder:
         if missing:
             self._add(sorted({pieces[i] for i in missing}))
             at[missing] = [self.index[pieces[i]] for i in missing]
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         return gather(self.flat, self.start[at], size), stop[ends]
 

@@ -126,7 +126,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         while len(todo):
             a, b = lo[todo], sp[todo]
             b = np.where((a ^ (a + b)) < _TOP, b, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
-            out_lane.append(lane[todo])
+            out_lane.append(lane[todo].astype(np.uint16))
             out_word.append((a >> _48).astype(np.uint16))
             a, b = a << _16, b << _16
             lo[todo], sp[todo] = a, b
@@ -148,9 +148,9 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
             shrink(rest, model.cum[y], model.counts[y], span[rest] // np.uint64(model.total))
         model.learn(x, order)
     for k in range(4):
-        out_lane.append(everyone)
+        out_lane.append(everyone.astype(np.uint16))
         out_word.append(((low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.uint16))
-    lane = np.concatenate(out_lane).astype(np.uint16)
+    lane = np.concatenate(out_lane)
     words = np.concatenate(out_word)[np.argsort(lane, kind="stable")]
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words.astype("<u2").tobytes()
     return _sealed(_HEADER.pack(MAGIC, n, vocabulary, lanes, checksum), body)

@@ -19,7 +19,7 @@ from tessera.llm.library_tokenizer import encoder
 
 END_ID = 2
 #: A block ends with the document that brings it to this many ids.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 MAGIC = b"TIDS"
 #: Magic, documents, ids before the block within its file; a checksum of these and the directory.
 _HEAD, _CHECK = struct.Struct("<4sIQ"), struct.Struct("<I")
@@ -68,7 +68,6 @@ def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
         lengths: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = start = block = 0
-        end = np.array([end_id], np.int64)
 
         def emit() -> pa.RecordBatch:
             nonlocal held, start, block
@@ -81,7 +80,7 @@ def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
         for b in slices(batches):
             ids, stops = encode(b.column(1).to_pylist())
             size_ = np.diff(stops) + 1
-            out = np.full(int(size_.sum()), end[0], np.int64)
+            out = np.full(int(size_.sum()), end_id, np.int32)
             inside = np.ones(len(out), bool)
             inside[np.cumsum(size_) - 1] = False
             out[inside] = ids
