@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +49,9 @@ STOP_WORDS = frozenset(
 #: Bounds of the first pass: characters of short and long blocks, shares of stop words and of link text.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.30, 0.33
+#: Bound of links in a main element: softer, as its element speaks for a block.
+LINKS_MAIN = 0.8
+_AROUND = string.punctuation + "«»„“”‘’…–—¿¡·©"
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -67,6 +71,7 @@ class Block:
     links: int
     place: str  # "outer", "main" or ""
     heading: bool = False
+    part: int = 0  # which outermost main element holds it, 0: none
     label: str = field(default="")
 
 
@@ -90,17 +95,18 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements and the place they make
+    stack: list[tuple[str, str, int]] = []  # open elements, the place and the part around them
     opened: Counter[str] = Counter()
     unclosed: set[str] = set()
     place, anchors, heading, at = "", 0, False, 0
+    part = parts_seen = 0
 
     def flush() -> None:
         nonlocal heading
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             links = len(_SPACES.sub(" ", html.unescape("".join(linked))).strip())
-            out.append(Block(text, links, place, heading))
+            out.append(Block(text, links, place, heading, part))
         parts.clear()
         linked.clear()
 
@@ -125,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             elif opened[name]:
                 inner = ""
                 while inner != name:
-                    inner, place = stack.pop()
+                    inner, place, part = stack.pop()
                     opened[inner] -= 1
             if name[:1] == "h" and name[1:] in "123456":
                 heading = False
@@ -151,12 +157,15 @@ def blocks(page: str) -> list[Block]:
             flush()
             anchors = 0 if name not in ("li", "p", "div", "span") else anchors
             if name != "p" and name not in VOID:
-                stack.append((name, place))
+                stack.append((name, place, part))
                 opened[name] += 1
                 if place != "outer":
                     if name in OUTER and not (name == "header" and place == "main") or _surrounds(m[3]):
                         place = "outer"
                     elif name in MAIN:
+                        if place != "main":
+                            parts_seen += 1
+                            part = parts_seen
                         place = "main"
             elif name == "p" and place != "outer" and _surrounds(m[3]):
                 end = re.compile(r"</p\b[^>]*>|<p\b", re.IGNORECASE).search(page, at)
@@ -166,41 +175,40 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """Labels each block "good" or "bad".
+def _stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(_AROUND) in STOP_WORDS for w in words) / max(1, len(words))
 
-    First pass, block by block: what lies outside the main text by its elements or names is bad and what lies in a
-    main element is good unless it is mostly links; elsewhere link density, length and stop-word density decide,
-    and short or middling blocks stay open. Second pass: an open block takes the label of its nearest decided
-    neighbours; between two kinds a near-good one counts as good, a short one as bad, and a heading looks ahead.
-    """
-    has_main = any(b.place == "main" for b in found)
-    for b in found:
-        density = b.links / len(b.text)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words)) if b.place == "" else 0.0
-        if b.place == "outer":
-            b.label = "bad"
-        elif b.place == "main":
-            b.label = "good" if density <= 0.8 or len(b.text) - b.links >= SHORT else "short"
-        elif has_main or density > LINKS:
-            b.label = "bad"
-        elif "©" in b.text and len(b.text) < LONG:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = "short"
-        elif stops >= STOP_HIGH:
-            b.label = "good" if len(b.text) > LONG else "near"
-        elif stops >= STOP_LOW:
-            b.label = "near"
-        else:
-            b.label = "bad"
+
+def _first(b: Block) -> str:
+    """A block's label by itself: "good" or "bad", or open: "near", "short" or "links"."""
+    if b.place == "outer":
+        return "bad"
+    density, main = b.links / len(b.text), b.place == "main"
+    if main and density > LINKS_MAIN and len(b.text) - b.links < SHORT:
+        return "links"
+    if not main and density > LINKS:
+        return "bad"
+    if "©" in b.text and len(b.text) < LONG:
+        return "links" if main else "bad"
+    if len(b.text) < SHORT:
+        return "short"
+    stops = _stop_share(b.text)
+    if main:
+        return "good" if stops >= STOP_LOW else "near"
+    if stops >= STOP_HIGH:
+        return "good" if len(b.text) > LONG else "near"
+    return "near" if stops >= STOP_LOW else "bad"
+
+
+def _neighbours(found: list[Block], edge: str) -> None:
+    """Labels the open blocks by the nearest decided ones among those given; beyond the ends lies `edge`."""
     decided = [b.label if b.label in ("good", "bad") else "" for b in found]
-    before, last = [], "bad"
+    before, last = [], edge
     for d in decided:
         before.append(last)
         last = d or last
-    after, last = [], "bad"
+    after, last = [], edge
     for d in reversed(decided):
         after.append(last)
         last = d or last
@@ -208,12 +216,44 @@ def classify(found: list[Block]) -> list[Block]:
     for b, d, left, right in zip(found, decided, before, after, strict=True):
         if d:
             continue
-        if b.heading:
+        if b.label == "links":
+            b.label = "good" if left == right == "good" else "bad"
+        elif b.heading:
             b.label = right
         elif left == right:
             b.label = left
+        elif edge == "good":
+            b.label = "good"
         else:
             b.label = "good" if b.label == "near" else "bad"
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Labels each block "good" or "bad".
+
+    First pass, block by block: what lies outside the main text by its elements or names is bad; elsewhere link
+    density, length and stop-word density decide, and short or middling blocks stay open. A main element only softens
+    the bounds: fewer stop words make a block good, none leave it open, and more links are let pass. Second pass: an
+    open block takes the label of its nearest decided neighbours; between two kinds a near-good one counts as good, a
+    short one as bad, and a heading looks ahead. In a main element with good text, or where no block of the page is
+    good, only blocks of that element are neighbours and doubt speaks for the text; blocks of links or of copyright
+    before its first or after its last text are bad. A main element without good text on a page that has some is judged like the
+    rest of the page.
+    """
+    for b in found:
+        b.label = _first(b)
+    known = {b.part for b in found if b.label == "good"}
+    inside: dict[int, list[Block]] = {}
+    for b in found:
+        if b.place == "main" and (b.part in known or not known):
+            inside.setdefault(b.part, []).append(b)
+    for section in inside.values():
+        texts = [k for k, b in enumerate(section) if b.label != "links"]
+        for k, b in enumerate(section):
+            if b.label == "links":  # between texts open, before the first or after the last bad
+                b.label = "short" if texts and texts[0] < k < texts[-1] else "bad"
+        _neighbours(section, "good")
+    _neighbours(found, "bad")
     return found
 
 

@@ -21,6 +21,19 @@ def test_without_main_elements_the_two_passes_decide():
     assert not any(x in got for x in ("Home", "Tags", "©"))
 
 
+TEXT = "The house on the hill was one of the first in the town and it is still there for all of us to see. "
+
+
+def test_main_elements_are_a_prior_and_never_discard_the_rest():
+    body = f"<div>{TEXT * 4}</div><div>It was late.</div><div>{TEXT * 3}</div>"
+    got = h.extract(f"<body>{body}<div><article><h3>Next story</h3><p>Read on</p></article></div></body>")
+    assert TEXT * 4 in got + " " and "It was late." in got and "Next story" not in got
+    got = h.extract(f"<body>{body}<article><p>{TEXT * 2}</p></article></body>")
+    assert got.count(TEXT.strip()) == 9
+    page = f"<article><h1>Title</h1><p>{TEXT}</p><p>Short one.</p><h2>Read more</h2><ul><li><a href=1>Other</a></li><li><a href=2>A longer headline of another story that goes on and on and on</a></li></ul></article>"
+    assert h.extract(page) == f"Title {TEXT}Short one."
+
+
 def test_odd_pages():
     assert [h.extract(x) for x in (None, "", "<", "<p", "<!-- open", "<script>x", "</div></p>")] == [""] * 7
     for x in ("<" * 50_000, "<div>" * 20_000 + "</section>" * 20_000, "<a b=\"c' " * 20_000, "<select>" * 20_000, "&amp" * 50_000):
