@@ -27,12 +27,20 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class and id names of what surrounds a text.
+#: Class and id names of what surrounds a text, alone or joined with each other and with FILLERS.
 OUTER_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus disclaimer dropdown "
     "footer footnav form header login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+FILLERS = frozenset(
+    "area bar block bottom box button buttons container global icons inner item items left link links list main mobile page post primary right secondary "
+    "section site text top wrap wrapper".split()
+)
+#: Names of readers' and other texts, which can be longer than the page's own.
+OTHER_TEXTS = frozenset("comment comments disqus related reply replies respond".split())
+#: Elements that no name makes part of what surrounds a text.
+KEPT = frozenset(("html", "body", *MAIN))
 OUTER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 
 #: Frequent function words of the languages that the classifier knows.
@@ -65,6 +73,18 @@ _SPACES = re.compile(r"\s+")
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for name in SILENT}
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element whose class, id or role says that it surrounds the text."""
+
+    number: int
+    outer: Mark | None
+    other_text: bool
+    holds_main: bool = False
+    chars: int = 0
+    bad: bool = False
+
+
 @dataclass
 class Block:
     text: str
@@ -72,22 +92,22 @@ class Block:
     place: str  # "outer", "main" or ""
     heading: bool = False
     part: int = 0  # which outermost main element holds it, 0: none
+    mark: Mark | None = None
     label: str = field(default="")
 
 
-def _surrounds(attributes: str) -> bool:
-    if not attributes or "=" not in attributes:
-        return bool(attributes) and _HIDDEN.search(attributes) is not None
-    if _HIDDEN.search(attributes):
-        return True
-    for name, *values in _NAMES.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.strip().lower() in OUTER_ROLES:
-                return True
-        elif any(p.lower() in OUTER_NAMES for p in _PART.findall(value)):
-            return True
-    return False
+def _named(attributes: str) -> set[str]:
+    """The names and roles of what surrounds a text among an element's attributes."""
+    out: set[str] = set()
+    for name, *values in _NAMES.findall(attributes) if "=" in attributes else ():
+        for token in "".join(values).lower().split():
+            if name.lower() == "role":
+                out |= {token} & OUTER_ROLES
+                continue
+            parts = set(_PART.findall(token))
+            if parts <= OUTER_NAMES | FILLERS:
+                out |= parts & OUTER_NAMES
+    return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -95,20 +115,30 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str, int]] = []  # open elements, the place and the part around them
+    stack: list[tuple[str, str, int, Mark | None]] = []  # open elements, the place, part and mark around them
     opened: Counter[str] = Counter()
     unclosed: set[str] = set()
     place, anchors, heading, at = "", 0, False, 0
-    part = parts_seen = 0
+    part = parts_seen = marks_seen = 0
+    mark: Mark | None = None
+    paragraph: tuple[str, Mark | None] | None = None  # the place and mark around an open paragraph that has its own
+
+    def marked(attributes: str) -> None:
+        nonlocal mark, marks_seen
+        if names := _named(attributes):
+            marks_seen += 1
+            mark = Mark(marks_seen, mark, bool(names & OTHER_TEXTS))
 
     def flush() -> None:
-        nonlocal heading
+        nonlocal heading, place, mark, paragraph
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             links = len(_SPACES.sub(" ", html.unescape("".join(linked))).strip())
-            out.append(Block(text, links, place, heading, part))
+            out.append(Block(text, links, place, heading, part, mark))
         parts.clear()
         linked.clear()
+        if paragraph:  # any block's start or end ends a paragraph
+            (place, mark), paragraph = paragraph, None
 
     while True:
         m = _TAG.search(page, at)
@@ -131,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             elif opened[name]:
                 inner = ""
                 while inner != name:
-                    inner, place, part = stack.pop()
+                    inner, place, part, mark = stack.pop()
                     opened[inner] -= 1
             if name[:1] == "h" and name[1:] in "123456":
                 heading = False
@@ -157,19 +187,27 @@ def blocks(page: str) -> list[Block]:
             flush()
             anchors = 0 if name not in ("li", "p", "div", "span") else anchors
             if name != "p" and name not in VOID:
-                stack.append((name, place, part))
+                stack.append((name, place, part, mark))
                 opened[name] += 1
                 if place != "outer":
-                    if name in OUTER and not (name == "header" and place == "main") or _surrounds(m[3]):
+                    if name in OUTER and not (name == "header" and place == "main") or name not in ("html", "body") and _HIDDEN.search(m[3]):
                         place = "outer"
                     elif name in MAIN:
                         if place != "main":
                             parts_seen += 1
                             part = parts_seen
                         place = "main"
-            elif name == "p" and place != "outer" and _surrounds(m[3]):
-                end = re.compile(r"</p\b[^>]*>|<p\b", re.IGNORECASE).search(page, at)
-                at = end.start() if end else len(page)
+                        above = mark
+                        while above and not above.holds_main:
+                            above.holds_main = True
+                            above = above.outer
+                    if place != "outer" and name not in KEPT:
+                        marked(m[3])
+            elif name == "p" and place != "outer":
+                paragraph = (place, mark)
+                if _HIDDEN.search(m[3]):
+                    place = "outer"
+                marked(m[3])
             heading = name[:1] == "h" and name[1:] in "123456" and len(name) == 2
     flush()
     return out
@@ -228,10 +266,43 @@ def _neighbours(found: list[Block], edge: str) -> None:
             b.label = "good" if b.label == "near" else "bad"
 
 
+def _discard_named(found: list[Block]) -> None:
+    """Makes blocks bad whose elements' names say so, unless these elements hold a main element or most of the page's
+    good text. Readers' and other texts may do both, as long as good text is left outside them."""
+    marks: dict[int, Mark] = {}
+    for b in found:
+        mark = b.mark
+        while mark and mark.number not in marks:
+            marks[mark.number] = mark
+            mark = mark.outer
+    if not marks:
+        return
+    good = [b for b in found if b.label == "good"]
+    if not good and not any(b.place == "main" for b in found):
+        good = [b for b in found if b.label == "near"]
+    for b in good:
+        if b.mark:
+            b.mark.chars += len(b.text)
+    for n in sorted(marks, reverse=True):
+        if marks[n].outer:
+            marks[n].outer.chars += marks[n].chars
+    total = sum(len(b.text) for b in good)
+    for n in sorted(marks):
+        mark = marks[n]
+        kept = mark.holds_main or 2 * mark.chars > total
+        if mark.other_text:
+            kept = kept and mark.chars == total
+        mark.bad = not kept or mark.outer is not None and mark.outer.bad
+    for b in found:
+        if b.mark and b.mark.bad:
+            b.label, b.place = "bad", "outer"
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Labels each block "good" or "bad".
 
-    First pass, block by block: what lies outside the main text by its elements or names is bad; elsewhere link
+    First pass, block by block: what lies outside the main text by its elements is bad, as is what does by its names if
+    these do not hold a main element or most of the good text; elsewhere link
     density, length and stop-word density decide, and short or middling blocks stay open. A main element only softens
     the bounds: fewer stop words make a block good, none leave it open, and more links are let pass. Second pass: an
     open block takes the label of its nearest decided neighbours; between two kinds a near-good one counts as good, a
@@ -242,6 +313,7 @@ def classify(found: list[Block]) -> list[Block]:
     """
     for b in found:
         b.label = _first(b)
+    _discard_named(found)
     known = {b.part for b in found if b.label == "good"}
     inside: dict[int, list[Block]] = {}
     for b in found:

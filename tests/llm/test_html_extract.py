@@ -34,6 +34,20 @@ def test_main_elements_are_a_prior_and_never_discard_the_rest():
     assert h.extract(page) == f"Title {TEXT}Short one."
 
 
+def test_names_alone_never_discard_the_text():
+    assert h.extract(f'<body class="no-sidebar"><article><p>{TEXT}</p></article></body>') == TEXT.strip()
+    assert h.extract(f'<body class="sidebar"><div id="page" class="header-fixed"><div>{TEXT * 4}</div></div></body>') == (TEXT * 4).strip()
+    assert h.extract(f'<article class="post has-comments tag-social widget"><p>{TEXT}</p></article>') == TEXT.strip()
+    assert h.extract(f'<div class="social"><main><p>{TEXT}</p><div class="share">Share</div></main></div>') == TEXT.strip()
+    assert h.extract(f'<div class="widget"><div>{TEXT * 4}</div></div><div class="widget">{TEXT * 3}</div>') == (TEXT * 4).strip()
+    assert h.extract(f'<p class="notice">{TEXT * 4}<div class="ad">Buy</div>') == (TEXT * 4).strip()
+    # an unclosed paragraph loses nothing but itself; longer comments are not the text
+    assert h.extract(f'<article><p>{TEXT}<div><p class="share">Share<div>{TEXT}</div></div></article>') == (TEXT * 2).strip()
+    page = f'<article><p>{TEXT * 2}</p></article><ol class="comment-list"><li class="comment"><article class="comment"><p>{TEXT * 9}</p></article></li></ol>'
+    assert h.extract(page) == (TEXT * 2).strip()
+    h.extract("<div class=ad>" * 20_000 + "x" + "</div>" * 20_000)
+
+
 def test_odd_pages():
     assert [h.extract(x) for x in (None, "", "<", "<p", "<!-- open", "<script>x", "</div></p>")] == [""] * 7
     for x in ("<" * 50_000, "<div>" * 20_000 + "</section>" * 20_000, "<a b=\"c' " * 20_000, "<select>" * 20_000, "&amp" * 50_000):
