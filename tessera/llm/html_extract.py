@@ -59,6 +59,10 @@ SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.30, 0.33
 #: Bound of links in a main element: softer, as its element speaks for a block.
 LINKS_MAIN = 0.8
+#: A page with less than this share of stop words, by length of its blocks, is in a language without known ones.
+STOP_PAGE = 0.08
+#: Letters of scripts without spaces; one says as much as three of an alphabet.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 _AROUND = string.punctuation + "«»„“”‘’…–—¿¡·©"
 
 _TAG = re.compile(
@@ -93,6 +97,7 @@ class Block:
     heading: bool = False
     part: int = 0  # which outermost main element holds it, 0: none
     mark: Mark | None = None
+    stops: float = -1.0  # share of stop words, -1: too short to tell
     label: str = field(default="")
 
 
@@ -218,7 +223,17 @@ def _stop_share(text: str) -> float:
     return sum(w.strip(_AROUND) in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _first(b: Block) -> str:
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _language_known(found: list[Block]) -> bool:
+    rows = [b for b in found if b.place != "outer" and b.stops >= 0 and b.links / len(b.text) <= LINKS]
+    chars = sum(len(b.text) for b in rows)
+    return not chars or sum(b.stops * len(b.text) for b in rows) >= STOP_PAGE * chars
+
+
+def _first(b: Block, language_known: bool = True) -> str:
     """A block's label by itself: "good" or "bad", or open: "near", "short" or "links"."""
     if b.place == "outer":
         return "bad"
@@ -229,14 +244,16 @@ def _first(b: Block) -> str:
         return "bad"
     if "©" in b.text and len(b.text) < LONG:
         return "links" if main else "bad"
+    if not language_known:  # length has to decide alone
+        size = _size(b.text)
+        return "good" if size > LONG else "near" if size >= SHORT else "short"
     if len(b.text) < SHORT:
         return "short"
-    stops = _stop_share(b.text)
     if main:
-        return "good" if stops >= STOP_LOW else "near"
-    if stops >= STOP_HIGH:
+        return "good" if b.stops >= STOP_LOW else "near"
+    if b.stops >= STOP_HIGH:
         return "good" if len(b.text) > LONG else "near"
-    return "near" if stops >= STOP_LOW else "bad"
+    return "near" if b.stops >= STOP_LOW else "bad"
 
 
 def _neighbours(found: list[Block], edge: str) -> None:
@@ -309,10 +326,14 @@ def classify(found: list[Block]) -> list[Block]:
     short one as bad, and a heading looks ahead. In a main element with good text, or where no block of the page is
     good, only blocks of that element are neighbours and doubt speaks for the text; blocks of links or of copyright
     before its first or after its last text are bad. A main element without good text on a page that has some is judged like the
-    rest of the page.
+    rest of the page. On a page in a language without known stop words, length decides in their place.
     """
     for b in found:
-        b.label = _first(b)
+        if b.place != "outer" and _size(b.text) >= SHORT:
+            b.stops = _stop_share(b.text)
+    language_known = _language_known(found)
+    for b in found:
+        b.label = _first(b, language_known)
     _discard_named(found)
     known = {b.part for b in found if b.label == "good"}
     inside: dict[int, list[Block]] = {}

@@ -48,6 +48,17 @@ def test_names_alone_never_discard_the_text():
     h.extract("<div class=ad>" * 20_000 + "x" + "</div>" * 20_000)
 
 
+def test_other_languages_keep_their_long_blocks():
+    polish = "Dom na wzgórzu był jednym z pierwszych w mieście i wciąż tam stoi, aby wszyscy mogli go zobaczyć z daleka. "
+    russian = "Дом на холме был одним из первых в городе и до сих пор стоит там, чтобы все могли его видеть издалека. "
+    chinese = "山上的房子是城里最早的房子之一,它至今仍然矗立在那里,让所有人都能从远处看到它。"
+    for text in (polish, russian, chinese):
+        page = f"<div><a href=1>Home</a> <a href=2>News</a></div><div>{text * 3}</div><div>{text}</div><div>{text * 2}{text}</div><div>© 2020 Us</div>"
+        assert h.extract(page) == " ".join(x.strip() for x in (text * 3, text, text * 3))
+    # on a page with known stop words a long block without any stays bad
+    assert "zobaczyć" not in h.extract(f"<div>{TEXT * 5}</div><div>{polish}</div>")
+
+
 def test_odd_pages():
     assert [h.extract(x) for x in (None, "", "<", "<p", "<!-- open", "<script>x", "</div></p>")] == [""] * 7
     for x in ("<" * 50_000, "<div>" * 20_000 + "</section>" * 20_000, "<a b=\"c' " * 20_000, "<select>" * 20_000, "&amp" * 50_000):
