@@ -7,7 +7,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from re import compile as compile_re
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,11 @@ from tessera.llm.common import documents, slices, whole_text
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _FIND = regex.compile(PATTERN).findall
-_TWO_SPACES = compile_re(f"[{SPACE}]{{2}}").search
-#: Marks a piece as literal; others stand for themselves after one space, or start with their line break.
-LITERAL = "\r\r"
+_PLAIN_RUNS = ("  ", " \n", "\n ", "\n\n")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{SPACE}]", c) and c not in " \n"]
+#: First characters of pieces that are literal or a special token's string; other pieces stand for themselves after
+#: one space, or start with their line break. Lone surrogates are in no text that comes from UTF-8.
+LITERAL, SPECIAL = "\ud800", "\ud801"
 _SHIFT = 20
 
 
@@ -35,6 +36,11 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _runs_of_space(text: str) -> bool:
+    """Whether two characters of white space may stand side by side: surely if all are spaces and line breaks."""
+    return any(x in text for x in _PLAIN_RUNS) or any(c in text for c in (_OTHER_SPACE[:4] if text.isascii() else _OTHER_SPACE))
+
+
 class BpeModel:
     """The tables of a byte-level BPE file: pair keys in ascending order with their ranks and results."""
 
@@ -73,11 +79,11 @@ class BpeModel:
         if self.special is not None and "<|" in text and self.special.search(text):
             out, done = [], 0
             for m in self.special.finditer(text):
-                out += [*self.split(text[done : m.start()]), m[0] + LITERAL]
+                out += [*self.split(text[done : m.start()]), SPECIAL + m[0]]
                 done = m.end()
             return out + self.split(text[done:])
-        if _TWO_SPACES(text):
-            return [LITERAL + x for x in _FIND(text)]
+        if _runs_of_space(text):
+            return [x[1:] if x[0] == " " and not x[1:2].isspace() and len(x) > 1 else LITERAL + x for x in _FIND(text)]
         pieces = cut_marks(text.replace("\n", " \n"), LITERAL).split(" ")
         pieces[0] = LITERAL + pieces[0]
         return pieces
@@ -85,14 +91,13 @@ class BpeModel:
     def encode_chunks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has: the pieces' distinct words are merged together."""
         numbers: dict[str, int] = {}
-        used, counts, special = [], [], []
-        skip = len(LITERAL)
+        used, counts, special = [], [], set()
         for p in pieces:
-            if p.startswith(LITERAL):
-                words = _FIND(p[skip:])
-            elif p.endswith(LITERAL) and p[:-skip] in self.added:
+            if p[:1] == SPECIAL:
                 words = [p]
-                special.append(p)
+                special.add(p)
+            elif p[:1] == LITERAL:
+                words = _FIND(p[1:])
             else:
                 words = _FIND(p if p[:1] == "\n" else " " + p)
             counts.append(len(words))
@@ -101,9 +106,9 @@ class BpeModel:
             numbers.setdefault(w, len(numbers))
         ids, ends = self.merge([b"" if w in special else w.encode() for w in numbers])
         start, size = ends[:-1], np.diff(ends)
-        for w in set(special):
+        for w in special:
             start[numbers[w]], size[numbers[w]] = len(ids), 1
-            ids = np.append(ids, np.int32(self.added[w[:-skip]]))
+            ids = np.append(ids, np.int32(self.added[w[1:]]))
         at = np.fromiter(map(numbers.__getitem__, used), np.int64, len(used))
         totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[at])])
         last = np.cumsum(np.array(counts, np.int64))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import repeat
+from unicodedata import normalize
 
 import numpy as np
 
-#: A cache beyond one of these is emptied before the next texts.
-CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 600_000, 10_000_000, 3_000_000
+#: A cache beyond one of these keeps, before the next texts, only pieces that were met again, or nothing if these are
+#: more than half as many.
+CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 900_000, 15_000_000, 4_500_000
 
 
 class ChunkEncoder:
@@ -27,15 +29,30 @@ class ChunkEncoder:
         self.chars = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.size = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)  # pieces that were met again since they came or were kept
+
+    def _full(self, share: float) -> bool:
+        return len(self.index) > share * CACHE_CHUNKS or self.chars > share * CACHE_CHARS or self.used > share * CACHE_IDS
+
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.again[: len(self.index)])
+        names, ids, sizes = list(self.index), gather(self.flat, self.start[kept], self.size[kept]), self.size[kept]
+        self._clear()
+        self._store([names[i] for i in kept.tolist()], ids, sizes)
+        if self._full(0.5):
+            self._clear()
 
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
 
     def _add(self, chunks: list[str]) -> None:
-        ids, sizes = self.encode(chunks)
+        self._store(chunks, *self.encode(chunks))
+
+    def _store(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k, m = len(ids), len(self.index), len(chunks)
         self.flat = self._grown(self.flat, self.used + n)
-        self.start, self.size = self._grown(self.start, k + m), self._grown(self.size, k + m)
+        self.start, self.size, self.again = (self._grown(x, k + m) for x in (self.start, self.size, self.again))
+        self.again[k : k + m] = False
         self.size[k : k + m] = sizes
         self.start[k : k + m] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + n] = ids
@@ -45,8 +62,8 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids start (one more entry: the end)."""
-        if len(self.index) > CACHE_CHUNKS or self.chars > CACHE_CHARS or self.used > CACHE_IDS:
-            self._clear()
+        if self._full(1):
+            self._shrink()
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
@@ -54,8 +71,9 @@ class ChunkEncoder:
             ends[i + 1] = len(pieces)
         at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0).tolist()
+        self.again[at[at >= 0]] = True
         if missing:
-            self._add(sorted({pieces[i] for i in missing}))
+            self._add(list(dict.fromkeys(map(pieces.__getitem__, missing))))
             at[missing] = [self.index[pieces[i]] for i in missing]
         size = self.size[at].astype(np.int64)
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
@@ -68,6 +86,12 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - stop + size, size) + np.arange(stop[-1])] if len(stop) else flat[:0]
 
 
+def _ends_word(text: str) -> bool:
+    """Whether text ends in what is a letter or digit, also after a tokenizer has normalised it."""
+    last = text[-1:]
+    return last.isalnum() if last.isascii() else normalize("NFC", last).lower().isalnum()
+
+
 def cut_marks(text: str, prefix: str) -> str:
     """text with " " + prefix before each comma or full stop that ends a word before a space, so that words are
     pieces without them. Split patterns end a token between a letter or digit and such a mark; where something
@@ -75,6 +99,6 @@ def cut_marks(text: str, prefix: str) -> str:
     for mark in (", ", ". "):
         if mark in text:
             parts = text.split(mark)
-            if all(p[-1:].lower().isalnum() for p in parts[:-1]):
+            if all(map(_ends_word, parts[:-1])):
                 text = f" {prefix}{mark}".join(parts)
     return text

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
-from tessera.llm.chunks import ChunkEncoder, cut_marks
+from tessera.llm.chunks import ChunkEncoder, cut_marks, gather
 
-#: Pieces that one call of the library gets, joined by a special token that no piece holds.
-JOINED = 1000
+#: Pieces that one call of the library gets.
+JOINED = 2000
 
 
 def _white_space_pieces(text: str) -> list[str]:
@@ -18,46 +19,73 @@ def _white_space_pieces(text: str) -> list[str]:
     return cut_marks(text.replace("\n", " "), "").split(" ")
 
 
+def _one_word(piece: str) -> bool:
+    """Whether the library is sure to see a single word in a piece: letters that normalising leaves letters."""
+    return piece.isalpha() and (piece.isascii() or is_normalized("NFC", piece) and piece.lower().isalpha())
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """Encodes as Tokenizer.from_file(path) does with add_special_tokens=False. Byte-level files without a
-    normaliser are cut as in bpe.BpeModel.split; files that split on white space and drop it, at white space."""
+    normaliser are cut as in bpe.BpeModel.split; files that split on white space and drop it, at white space.
+
+    Pieces whose first or last id shows itself are encoded many at a time, as one text: in byte-level files those
+    with a space or line break before them and none within, in the others single words, whose last token has an
+    end-of-word suffix. All other pieces are encoded one by one.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    mark, mark_id = next((t.content, i) for i, t in sorted(tokenizer.get_added_tokens_decoder().items(), reverse=True))
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin or end a piece
     keeps_spaces = tokenizer.normalizer is None
     if keeps_spaces:
-        from tessera.llm.bpe import LITERAL, model
+        from tessera.llm.bpe import LITERAL, SPECIAL, model
 
         split = model(path).split
+        edge[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
+
+        def together(piece: str) -> bool:
+            return piece[:1] not in (LITERAL, SPECIAL, "") and not piece[-1].isspace()
+
+        def plain(piece: str) -> str:
+            return piece[1:] if piece[:1] in (LITERAL, SPECIAL) else piece if piece[:1] == "\n" else " " + piece
     else:
-        LITERAL, split = "", _white_space_pieces  # noqa: N806
+        split, together = _white_space_pieces, _one_word
+        edge[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def plain(piece: str) -> str:
-        if not keeps_spaces:
-            return piece
-        if piece.endswith(LITERAL):  # a special token's own string
-            return piece[: -len(LITERAL)]
-        return piece[len(LITERAL) :] if piece.startswith(LITERAL) else piece if piece[:1] == "\n" else " " + piece
+        def plain(piece: str) -> str:
+            return piece + " "
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = [], []
-        for start in range(0, len(pieces), JOINED):
-            group = list(map(plain, pieces[start : start + JOINED])) if keeps_spaces else pieces[start : start + JOINED]
-            text = mark.join(group)
-            if text.count("<|") == len(group) - 1:
-                ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                marks = ids == mark_id
-                flat.append(ids[~marks])
-                sizes.append(np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1)
-            else:  # some piece holds what could be a special token
-                each = [e.ids for e in tokenizer.encode_batch(group, add_special_tokens=False)]
-                flat += [np.array(x, np.int32) for x in each]
-                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        return np.concatenate(flat), np.concatenate(sizes)
+        """The ids of all pieces, flat, and how many each has."""
+        many = np.fromiter(map(together, pieces), bool, len(pieces))
+        flat, sizes = [np.empty(0, np.int32)], []
+
+        def alone(group: list[str]) -> None:
+            each = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            flat.extend(np.array(x, np.int32) for x in each)
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+
+        joined, single = (np.flatnonzero(x).tolist() for x in (many, ~many))
+        for start in range(0, len(joined), JOINED):
+            group = [plain(pieces[i]) for i in joined[start : start + JOINED]]
+            (found,) = tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)
+            ids = np.array(found.ids, np.int32)
+            at = np.flatnonzero(edge[ids])
+            size = np.diff(at, append=len(ids)) if keeps_spaces else np.diff(at, prepend=-1)
+            if len(size) == len(group) and size.sum() == len(ids):
+                flat.append(ids)
+                sizes.append(size)
+            else:  # letters of which the library knows more or less
+                alone(group)
+        alone([plain(pieces[i]) for i in single])
+        size, order = np.concatenate(sizes), np.array(joined + single, np.int64)
+        start, in_order = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        start[order], in_order[order] = np.cumsum(size) - size, size
+        return gather(np.concatenate(flat), start, in_order), in_order
 
     return ChunkEncoder(split, encode)

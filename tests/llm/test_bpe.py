@@ -7,9 +7,9 @@ import pytest
 pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe
+from tessera.llm import bpe, library_tokenizer
 
-PARTS = [*"ab cdeé'sltrm  \n\n\t\r1234567890!?.,-_#　\xa0́Σσß日本語한국어😀\x00\x1c\x85 ", "<|endoftext|>", "<|", "the", " ing", "  ", "   ", "'ll", "aaaa"]
+PARTS = ["\r\r", "\r", "İ", "ΑΣ", "\u0958", "\u1100\u1161", *"ab cdeé'sltrm  \n\n\t\r1234567890!?.,-_#　\xa0́Σσß日本語한국어😀\x00\x1c\x85 ", "<|endoftext|>", "<|", "the", " ing", "  ", "   ", "'ll", "aaaa"]
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,24 @@ def test_ids_and_text_equal_the_library(pair):
         assert ours.decode(mine) == theirs.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_through_the_library_equal_whole_texts(name):
+    """library_tokenizer's cached pieces against one call of the library per text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    ours, theirs = library_tokenizer.encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(2500)]
+    texts += ["a \r\r b", "\t\r\r", "a\n\r\r\tb", "x \r\r\r\ty", "\r\r", "a\n", "\na", "b ", "", "a<|endoftext|>\r\r", "a" * 30_000, "one\t\ntwo"]
+    texts += [" ".join(rng.choice(("word", "Straße", "don't", "x1", "a,", "日本", "a\t", "b\nc", "\n")) for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    for start in range(0, len(texts), 300):
+        part = texts[start : start + 300]
+        ids, ends = ours(part)
+        for i, t in enumerate(part):
+            assert ids[ends[i] : ends[i + 1]].tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+
+
 def test_broken_utf8_decodes_as_the_library(pair):
     ours, theirs = pair
     rng = np.random.default_rng(2)
