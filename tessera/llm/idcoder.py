@@ -1,15 +1,16 @@
 """Blocks of token ids under an adaptive context-mixing range coder.
 
-A block is cut into many lanes, stretches of equal length that are coded in step with one another: step t codes the
-t-th id of every lane in a few array operations. All lanes share one model, which starts empty in each block and
-learns after every step, in the coder and the decoder alike:
+A block is cut into lanes, stretches of equal length that are coded in step with one another: step t codes the t-th
+id of every lane in a few array operations. All lanes share one model. It starts empty in each block and learns
+from all ids before step t whenever t has doubled, in the coder and the decoder alike:
 
-* order 2 and order 1: a table each from the last two ids (hashed) or the last id to the id that followed, with a
-  confidence that hits raise and misses lower;
-* order 0: counts of the ids that neither predicted.
+* order 2: a table from the last two ids (hashed) to the id that mostly followed, with counts of its hits and misses;
+* order 1: for each id all ids that have followed it, with their counts, and a share for any other;
+* order 0: in how many contexts each id has occurred.
 
-The three are mixed by weights learned per pair of confidences. An id takes its interval in the mixture, first
-the share of its order, then within order 0 its count. Each lane has a 64-bit carry-less range coder.
+An id's interval is cut from the mixture: first the share of order 2, learned per pair of hits and misses; what is
+left is dealt out by order 1; and its share for other ids by order 0. Each lane has a range coder of 48 bits, whose
+carries are added to the words already put out; its quotients are exact in floating point.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMB1"
+MAGIC = b"CMB2"
 #: Most lanes of a block, and the fewest ids a lane should have.
-LANES, LANE_IDS = 8192, 64
-_HASH_BITS, _CONF = 18, 7
-_ID_BITS = np.int32(24)
-_ID_MASK = np.int32((1 << 24) - 1)
-_K1, _K2 = np.int32(-1640531535), np.int32(668265263)
+LANES, LANE_IDS = 4096, 64
+_HASH_BITS = 16
+_HITS, _MISSES = 15, 7  # counts of order 2 end here
+_K1, _K2 = np.int32(-2048144777), np.int32(-1640531535)
 _MIX_BITS = 12
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
+_MIX_MASK, _LOWER = (1 << _MIX_BITS) - 1, (1 << 32) - 1
+_WORD, _TOP = 16, 48
+_LOW_BITS = _TOP - _WORD
+_LEAST, _REST = 1 << _LOW_BITS, (1 << _LOW_BITS) - 1
+_FLUSHED = 2  # words that end a lane
+#: Least share of either outcome of order 2, of 2**_MIX_BITS, and most pairs that order 1 counts: a span of 2**32 can
+#: be dealt out by both.
+_LEAST_SHARE, _MOST_PAIRS = 16, 1 << 22
 _HEADER = struct.Struct("<4sIIII")  # magic, ids, vocabulary, lanes, checksum of the ids
 _CHECK = struct.Struct("<I")  # of the header and the body
 
@@ -37,58 +43,115 @@ class Corrupt(ValueError):
     """A block whose checksums do not hold."""
 
 
+def _distinct(keys: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ascending distinct keys, how often each occurs and, if asked for, which of them stands at each place. Keys are
+    sorted with their places below them where both fit, as numpy sorts values far faster than places."""
+    n, which = len(keys), None
+    bits = (n - 1).bit_length()
+    if not places:
+        keys = np.sort(keys)
+    elif int(keys.max()) >> 63 - bits:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    else:
+        keys = np.sort(keys << bits | np.arange(n))
+        order, keys = keys & ((1 << bits) - 1), keys >> bits
+    fresh = np.ones(n, bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(fresh)
+    if places:
+        which = np.empty(n, np.int64)
+        which[order] = np.cumsum(fresh) - 1
+    return keys[first], np.diff(first, append=n), which
+
+
 class _Model:
-    def __init__(self, vocabulary: int, lanes: int):
+    """Frozen between two calls of learn. Fields that are looked up together share an integer: the one named first in
+    its upper bits, the other in its lower 32 (order 2: _MIX_BITS)."""
+
+    def __init__(self, vocabulary: int):
         if vocabulary > 1 << 24:
             raise ValueError("ids of more than 24 bits")
-        self.lanes = lanes
-        self.table1 = np.zeros(vocabulary, np.int32)  # id and, above it, confidence
-        self.table2 = np.zeros(1 << _HASH_BITS, np.int32)
-        self.counts = np.ones(vocabulary, np.int64)
-        self.seen: list[np.ndarray] = []
-        self.step, self.refresh = 0, 1
-        self.outcomes = np.tile(np.array([1, 1, 2], np.int64), (2 * (_CONF + 1) ** 2, 1))
-        self.last1 = np.zeros(lanes, np.int32)
-        self.last2 = np.zeros(lanes, np.int32)
-        self._cumulate()
-
-    def _cumulate(self) -> None:
-        if self.seen:
-            self.counts += 8 * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))
-            self.seen = []
-            while self.counts.sum() >= 1 << 24:
-                self.counts = (self.counts + 1) >> 1
-        self.cum = np.zeros(len(self.counts) + 1, np.int64)
-        np.cumsum(self.counts, out=self.cum[1:])
-        self.total = int(self.cum[-1])
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each lane's order-2 and order-1 ids, and where their shares of the mixture end."""
-        self.slot = (self.last2 * _K2 ^ self.last1 * _K1) >> np.int32(31 - _HASH_BITS) & np.int32((1 << _HASH_BITS) - 1)
-        self.held2, self.held1 = self.table2[self.slot], self.table1[self.last1]
-        self.p2, self.p1 = self.held2 & _ID_MASK, self.held1 & _ID_MASK
-        self.bucket = (self.held2 >> _ID_BITS << np.int32(4)) | (self.held1 >> _ID_BITS << np.int32(1)) | (self.p1 == self.p2)
-        share = 1 + self.outcomes * ((1 << _MIX_BITS) - 3) // self.outcomes.sum(1, keepdims=True)
-        end2 = share[:, 0]
-        end1 = end2 + share[:, 1]
-        return self.p2, self.p1, end2[self.bucket], end1[self.bucket]
-
-    def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
-        """order: 0, 1, 2 where an id was coded by order 2, 1, 0."""
-        found = np.bincount(self.bucket * 3 + order, minlength=self.outcomes.size)
-        self.outcomes += found.reshape(self.outcomes.shape)
-        full = self.outcomes.sum(1) > 1 << 14
+        self.vocabulary = vocabulary
+        # order 2
+        slots = 1 << _HASH_BITS
+        self.guess = np.zeros(slots, np.int64)
+        self.hits, self.misses = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.outcomes = np.ones(((_HITS + 1) * (_MISSES + 1), 2), np.int64)  # misses and hits by counts
+        # order 1
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.heads = np.zeros(vocabulary, np.int64)  # contexts of each id
+        self._lay_out()
+
+    def slots(self, last2: np.ndarray, last1: np.ndarray) -> np.ndarray:
+        """The places of two ids in order 2."""
+        return (last2 * _K2 ^ last1 * _K1) >> (31 - _HASH_BITS) & ((1 << _HASH_BITS) - 1)
+
+    def _lay_out(self) -> None:
+        bucket = np.minimum(self.hits, _HITS) * (_MISSES + 1) + np.minimum(self.misses, _MISSES)
+        share = _LEAST_SHARE + self.outcomes[:, 1] * ((1 << _MIX_BITS) - 2 * _LEAST_SHARE) // self.outcomes.sum(1)
+        self.bucket, self.guess_share = bucket, self.guess << _MIX_BITS | share[bucket]
+        # order 1: a context's entries lie together, that for other ids (-1) last; at the very end unknown contexts
+        context, follower = np.divmod(self.keys, self.vocabulary)
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        kinds = np.diff(first, append=len(context))
+        row = np.arange(len(first))
+        n = len(self.keys) + len(first) + 1
+        size, symbol = np.empty(n, np.int64), np.full(n, -1, np.int64)
+        place, others = np.arange(len(self.keys)) + np.repeat(row, kinds), first + kinds + row
+        size[place], size[others], size[-1] = 2 * self.counts - 1, kinds, 1
+        symbol[place] = follower
+        ends = np.cumsum(size)
+        base, total = ends[first + row] - size[first + row], 2 * np.add.reduceat(self.counts, first) if len(first) else kinds
+        start = ends - size - np.append(np.repeat(base, kinds + 1), ends[-1] - 1)
+        self.place, self.symbol, self.start_size = place, symbol, start << 32 | size
+        self.others = np.full(self.vocabulary, n - 1, np.int64)
+        self.others[context[first]] = others
+        self.base_total = np.full(self.vocabulary, (ends[-1] - 1) << 32 | 1, np.int64)
+        self.base_total[context[first]] = base << 32 | total
+        self.entry_at = np.repeat(np.arange(n, dtype=np.int32), size)
+        size0 = 1 + 16 * self.heads
+        ends0 = np.cumsum(size0)
+        self.start_size0, self.total0 = (ends0 - size0) << 32 | size0, int(ends0[-1])
+        self.id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), size0)
+
+    def keys_of(self, last1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return last1.astype(np.int64) * self.vocabulary + ids
+
+    def entries(self, keys: np.ndarray) -> np.ndarray:
+        """The order-1 entries of ascending keys; -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+    def learn(self, slot: np.ndarray, hit: np.ndarray, ids: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+        """The next ids, step by step, with their places in order 2 and whether it had them; their distinct keys."""
+        n = len(self.hits)
+        other = np.flatnonzero(~hit)
+        slot_other = slot[other]
+        misses = np.bincount(slot_other, minlength=n)
+        hits = np.bincount(slot, minlength=n) - misses
+        for k, times_ in enumerate((misses, hits)):
+            self.outcomes[:, k] += np.bincount(self.bucket, times_, len(self.outcomes)).astype(np.int64)
+        full = self.outcomes.sum(1) > 1 << 16
         self.outcomes[full] = (self.outcomes[full] + 1) >> 1
-        one, miss = np.int32(1 << _ID_BITS), np.int32(_CONF) << _ID_BITS
-        for table, at, guess, held in ((self.table2, self.slot, self.p2, self.held2), (self.table1, self.last1, self.p1, self.held1)):
-            less = held >> np.int32(1) & miss  # half the confidence
-            table[at] = np.where(guess == ids, np.where(held < miss, held + one, held), less | np.where(held >= one + one, guess, ids))
-        self.seen.append(ids[order == 2])
-        self.last2, self.last1 = self.last1, ids
-        self.step += 1
-        if self.step >= self.refresh:
-            self._cumulate()
-            self.refresh = self.step + min(16, self.step)
+        wrong = misses > self.hits + hits
+        new = wrong[slot_other]
+        self.guess[slot_other[new]] = ids[other[new]]  # the last of them
+        self.misses = np.minimum(self.misses + misses >> (hits > 0), 255)
+        self.hits = np.where(wrong, 0, np.minimum(self.hits + hits, 255))
+
+        at = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.keys):
+            fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        self.counts[at[~fresh]] += times[~fresh]
+        self.keys, self.counts = np.insert(self.keys, at[fresh], keys[fresh]), np.insert(self.counts, at[fresh], times[fresh])
+        while self.counts.sum() > _MOST_PAIRS:
+            self.counts = (self.counts + 1) >> 1
+        self.heads += np.bincount(keys[fresh] % self.vocabulary, minlength=self.vocabulary)
+        self._lay_out()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -96,6 +159,15 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _rounds(steps: int) -> list[tuple[int, int]]:
+    """First and last steps between which the model stays as it is."""
+    out, t = [], 0
+    while t < steps:
+        out.append((t, min(steps, max(1, 2 * t))))
+        t = out[-1][1]
+    return out
+
+
 def _sealed(header: bytes, body: bytes) -> bytes:
     return header + _CHECK.pack(zlib.crc32(body, zlib.crc32(header))) + body
 
@@ -107,51 +179,73 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return _sealed(_HEADER.pack(MAGIC, 0, vocabulary, 0, checksum), b"")
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int32)
-    grid[:n] = ids
-    columns = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(vocabulary, lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    grid = np.zeros((steps + 2, lanes), np.int32)  # two steps of zeros stand before the first
+    flat = np.zeros(lanes * steps, np.int32)
+    flat[:n] = ids
+    grid[2:] = flat.reshape(lanes, steps).T
+    model = _Model(vocabulary)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
     everyone = np.arange(lanes)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
 
-    def shrink(who: np.ndarray | None, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        nonlocal low, span
-        lo = low if who is None else low[who]
-        lo = lo + unit * start.astype(np.uint64)
-        sp = unit * size.astype(np.uint64)
-        lane = everyone if who is None else who
-        todo = np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM))
-        while len(todo):
-            a, b = lo[todo], sp[todo]
-            b = np.where((a ^ (a + b)) < _TOP, b, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
-            out_lane.append(lane[todo].astype(np.uint16))
-            out_word.append((a >> _48).astype(np.uint16))
-            a, b = a << _16, b << _16
-            lo[todo], sp[todo] = a, b
-            todo = todo[((a ^ (a + b)) < _TOP) | (b < _BOTTOM)]
-        if who is None:
-            low, span = lo, sp
-        else:
-            low[who], span[who] = lo, sp
-
-    for x in columns:
-        p2, p1, end2, end1 = model.predict()
-        order = np.where(x == p2, 0, np.where(x == p1, 1, 2))
-        start = np.where(order == 0, 0, np.where(order == 1, end2, end1))
-        stop = np.where(order == 0, end2, np.where(order == 1, end1, 1 << _MIX_BITS))
-        shrink(None, start, stop - start, span >> np.uint64(_MIX_BITS))
-        rest = np.flatnonzero(order == 2)
-        if len(rest):
-            y = x[rest]
-            shrink(rest, model.cum[y], model.counts[y], span[rest] // np.uint64(model.total))
-        model.learn(x, order)
-    for k in range(4):
-        out_lane.append(everyone.astype(np.uint16))
-        out_word.append(((low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.uint16))
+    def put(who: np.ndarray, count: int = 1) -> None:
+        for _ in range(count):
+            held = low[who]
+            out_lane.append(who.astype(np.uint16))
+            out_word.append((held >> _LOW_BITS).astype(np.int32))
+            low[who] = (held & _REST) << _WORD
+
+    def widen(who: np.ndarray) -> None:
+        while len(who):
+            put(who)
+            wide = span[who] << _WORD
+            span[who] = wide
+            who = who[wide < _LEAST]
+
+    for first, stop in _rounds(steps):
+        last2, last1, x = (grid[first + k : stop + k].reshape(-1) for k in range(3))
+        slot = model.slots(last2, last1)
+        held = model.guess_share[slot]
+        hit, share = held >> _MIX_BITS == x, held & _MIX_MASK
+        start, size = np.where(hit, 0, share), np.where(hit, share, (1 << _MIX_BITS) - share)
+        # order 1: start, size and total of each id, the whole for those that order 2 has
+        keys, times, which = _distinct(model.keys_of(last1, x), True)
+        rest = np.flatnonzero(~hit)
+        entry, context = model.entries(keys)[which[rest]], last1[rest]
+        odd = np.flatnonzero(entry < 0)
+        entry[odd] = model.others[context[odd]]
+        strange, held = rest[odd], model.start_size[entry]
+        start1, size1, total1 = np.zeros(len(x), np.int64), np.ones(len(x), np.int64), np.ones(len(x), np.int64)
+        start1[rest], size1[rest], total1[rest] = held >> 32, held & _LOWER, model.base_total[context] & _LOWER
+        held = model.start_size0[x[strange]]
+        start0, size0 = held >> 32, held & _LOWER
+        step_of = np.searchsorted(strange, np.arange(stop - first + 1) * lanes)
+        for t in range(stop - first):
+            here = slice(t * lanes, (t + 1) * lanes)
+            unit = span >> _MIX_BITS
+            low += unit * start[here]
+            unit *= size[here]
+            unit = (unit / total1[here]).astype(np.int64)
+            low += unit * start1[here]
+            span = unit * size1[here]
+            these = slice(step_of[t], step_of[t + 1])
+            if these.start < these.stop:
+                who = strange[these] - t * lanes
+                widen(who[span[who] < _LEAST])
+                unit = (span[who] / model.total0).astype(np.int64)
+                low[who] += unit * start0[these]
+                span[who] = unit * size0[these]
+            widen(np.flatnonzero(span < _LEAST))
+        if stop < steps:
+            model.learn(slot, hit, x, keys, times)
+    low += (1 << (_TOP - _FLUSHED * _WORD)) - 1  # its first words, whatever follows them, lie in the span
+    put(everyone, _FLUSHED)
     lane = np.concatenate(out_lane)
     words = np.concatenate(out_word)[np.argsort(lane, kind="stable")]
+    while (carry := words >> _WORD).any():
+        words &= (1 << _WORD) - 1
+        words[:-1] += carry[1:]
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words.astype("<u2").tobytes()
     return _sealed(_HEADER.pack(MAGIC, n, vocabulary, lanes, checksum), body)
 
@@ -168,56 +262,63 @@ def decode_block(block: bytes) -> np.ndarray:
         return np.empty(0, np.int32)
     steps = -(-n // lanes)
     each = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.append(np.frombuffer(body, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(8, np.uint64))
+    words = np.append(np.frombuffer(body, "<u2", offset=4 * lanes).astype(np.int64), np.zeros(8, np.int64))
     at = np.cumsum(each) - each
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _16) | words[at]
-        at = at + 1
-    model = _Model(vocabulary, lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.empty((steps, lanes), np.int32)
-
-    def shrink(who: np.ndarray | None, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        nonlocal low, span
-        lo = low if who is None else low[who]
-        lo = lo + unit * start.astype(np.uint64)
-        sp = unit * size.astype(np.uint64)
-        todo = np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM))
-        while len(todo):
-            a, b = lo[todo], sp[todo]
-            b = np.where((a ^ (a + b)) < _TOP, b, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
-            lane = todo if who is None else who[todo]
-            code[lane] = (code[lane] << _16) | words[at[lane]]
-            at[lane] += 1
-            a, b = a << _16, b << _16
-            lo[todo], sp[todo] = a, b
-            todo = todo[((a ^ (a + b)) < _TOP) | (b < _BOTTOM)]
-        if who is None:
-            low, span = lo, sp
-        else:
-            low[who], span[who] = lo, sp
-
-    whole = 1 << _MIX_BITS
-    for t in range(steps):
-        p2, p1, end2, end1 = model.predict()
-        unit = span >> np.uint64(_MIX_BITS)
-        value = np.minimum((code - low) // unit, np.uint64(whole - 1)).astype(np.int64)
-        order = (value >= end2).astype(np.int64) + (value >= end1)
-        start = np.where(order == 0, 0, np.where(order == 1, end2, end1))
-        stop = np.where(order == 0, end2, np.where(order == 1, end1, whole))
-        shrink(None, start, stop - start, unit)
-        x = np.where(order == 0, p2, p1)
-        rest = np.flatnonzero(order == 2)
-        if len(rest):
-            unit = span[rest] // np.uint64(model.total)
-            value = np.minimum((code[rest] - low[rest]) // unit, np.uint64(model.total - 1)).astype(np.int64)
-            y = np.searchsorted(model.cum, value, "right") - 1
-            x[rest] = y
-            shrink(rest, model.cum[y], model.counts[y], unit)
-        out[t] = x
-        model.learn(x, order)
-    ids = out.T.reshape(-1)[:n]
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
+    for _ in range(_TOP // _WORD):
+        code = code << _WORD | words[at]
+        at += 1
+    model = _Model(vocabulary)
+    grid = np.zeros((steps + 2, lanes), np.int32)
+
+    def widen(who: np.ndarray) -> None:
+        while len(who):
+            here = at[who]
+            code[who] = code[who] << _WORD | words[here]
+            at[who] = here + 1
+            wide = span[who] << _WORD
+            span[who] = wide
+            who = who[wide < _LEAST]
+
+    for first, stop in _rounds(steps):
+        slots, hits = np.empty((stop - first, lanes), np.int32), np.empty((stop - first, lanes), bool)
+        for t in range(first, stop):
+            last2, last1 = grid[t], grid[t + 1]
+            slot = model.slots(last2, last1)
+            held = model.guess_share[slot]
+            unit = span >> _MIX_BITS
+            bound = unit * (held & _MIX_MASK)
+            hit = code < bound
+            x = held >> _MIX_BITS
+            rest = np.flatnonzero(~hit)
+            if len(rest):
+                context, share = last1[rest], bound[rest]
+                held = model.base_total[context]
+                total = held & _LOWER
+                part = (((unit[rest] << _MIX_BITS) - share) / total).astype(np.int64)
+                c = code[rest] - share
+                entry = model.entry_at[np.minimum((c / part).astype(np.int64), total - 1) + (held >> 32)]
+                held, y = model.start_size[entry], model.symbol[entry]
+                code[rest] = c - part * (held >> 32)
+                bound[rest] = part * (held & _LOWER)
+                x[rest] = y
+            span = bound
+            who = rest[y < 0] if len(rest) else rest
+            if len(who):
+                widen(who[span[who] < _LEAST])
+                part = (span[who] / model.total0).astype(np.int64)
+                y = model.id_at[np.minimum((code[who] / part).astype(np.int64), model.total0 - 1)]
+                held = model.start_size0[y]
+                code[who] -= part * (held >> 32)
+                span[who] = part * (held & _LOWER)
+                x[who] = y
+            widen(np.flatnonzero(span < _LEAST))
+            grid[t + 2], slots[t - first], hits[t - first] = x, slot, hit
+        if stop < steps:
+            last1, x = grid[first + 1 : stop + 1].reshape(-1), grid[first + 2 : stop + 2].reshape(-1)
+            keys, times, _ = _distinct(model.keys_of(last1, x))
+            model.learn(slots.reshape(-1), hits.reshape(-1), x, keys, times)
+    ids = grid[2:].T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:
         raise Corrupt("a block's ids do not match their checksum")
     return ids
