@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, slices, whole_text, written
@@ -19,7 +20,7 @@ from tessera.llm.library_tokenizer import encoder
 
 END_ID = 2
 #: A block ends with the document that brings it to this many ids.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 MAGIC = b"TIDS"
 #: Magic, documents, ids before the block within its file; a checksum of these and the directory.
 _HEAD, _CHECK = struct.Struct("<4sIQ"), struct.Struct("<I")
@@ -54,11 +55,11 @@ def unpack_block(data: bytes) -> tuple[list[int | None], np.ndarray, int, np.nda
 def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, vocabulary: int | None = None) -> DataFrame:
     """The written file table (file, block, n_ids, data): one file per range of ascending ids, blocks in order.
 
-    The texts are dealt out by ranges of doc_id, one shuffle, and sorted there; ids come from the `tokenizers`
-    file at path, and each document ends with end_id. Blocks are independent: each starts with an empty model and
+    The texts are dealt out by ranges of doc_id and a hash of the text, one shuffle, and sorted there; ids come from
+    the `tokenizers` file at path, and each document ends with end_id. Blocks are independent: each starts with an empty model and
     carries its own checksums, so one that is lost or damaged costs no other. The table lies in the shared
-    folder under Spark's commit protocol. A null text counts as empty; null ids come first; rows of one id
-    follow by text, repeated ones each.
+    folder under Spark's commit protocol. A null text counts as empty; null ids come first; rows of one id, of
+    which no task gets all, follow by their texts' hashes; repeated rows each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,8 @@ def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
             yield emit()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+    rows = rows.select("doc_id", "text")
     return written(rows.mapInArrow(run, FILES), "token-files")
 
 
@@ -106,20 +108,29 @@ def _vocabulary(path: str) -> int:
     return max(chain(spec["model"]["vocab"].values(), (t["id"] for t in spec["added_tokens"]))) + 1
 
 
+#: Files whose totals are summed up in one task; as many sums again make one task's next level.
+FILES_A_GROUP = 512
+
+
+def _bases(files: DataFrame) -> DataFrame:
+    """file and base, the ids of all files before it, as a written table: running sums within groups of files and
+    over the groups' totals. Spark broadcasts it only below its own bound of size."""
+    totals = files.groupBy("file").agg(F.sum("n_ids").alias("n")).withColumn("part", F.floor(F.col("file") / FILES_A_GROUP))
+    groups = totals.groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(F.col("part"), before.alias("before"))
+    within = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = totals.withColumn("within", within).join(groups, "part")
+    return written(rows.select("file", (F.col("before") + F.col("within")).alias("base")), "token-bases")
+
+
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document from the files alone: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 and, if asked for, ids. A damaged block fails its task. The files' totals, one row a file, are
-    summed up in order and joined to their blocks by broadcast: there are as many as partitions were written."""
-    totals = files.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()
-    base, bases = 0, []
-    for r in totals:
-        bases.append((r["file"], base))
-        base += r["n"]
-    spark = files.sparkSession
-    before = F.broadcast(spark.createDataFrame(bases, "file int, base long"))
+    ids_crc32 and, if asked for, ids. A damaged block fails its task."""
+    before = _bases(files)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,27 @@ def test_contexts_help():
     assert len(idcoder.encode_block(np.array(chain), 5000)) < 0.5 * len(idcoder.encode_block(shuffled, 5000))
 
 
+def test_real_ids_take_less_than_their_order_0_entropy(sf_dir):
+    import pyarrow.parquet as pq
+
+    from tessera.llm.library_tokenizer import encoder
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids, _ = encoder(token_files.default_path())([t or "" for t in texts])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    assert 8 * len(idcoder.encode_block(ids, 50_257)) < 0.95 * entropy * len(ids)
+
+
+def test_starts_over_many_files(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILES_A_GROUP", 2)
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', cast(id % 7 as int)) AS text")
+    files = token_files.write_token_files(docs, token_files.default_path())
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = token_files.read_token_files(files).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == _expected(rows)
+
+
 def test_damage_is_found():
     block = token_files.pack_block([5, None], np.array([2, 1]), 7, np.array([1, 2, 3]), 9)
     assert token_files.unpack_block(block)[0] == [5, None]
@@ -53,7 +74,10 @@ def test_rows(spark):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int")
     files = token_files.write_token_files(docs, token_files.default_path())
     got = token_files.read_token_files(files, with_ids=True).collect()
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == _expected(rows)
+    got = sorted(got, key=lambda r: r.start)
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((d or 0, n, crc) for d, _, n, crc in _expected(rows))
+    assert [r.doc_id for r in got] == [None, -5, 1, 1, 1, 3]  # rows of one id: in either order
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
     assert all(len(r.ids) == r.n_tokens for r in got)
     none = token_files.write_token_files(docs.limit(0), token_files.default_path())
     assert token_files.read_token_files(none).collect() == []
