@@ -20,7 +20,9 @@ from tessera.llm.common import documents, slices, whole_text
 WIDTH, TILE, FRAME_TILES, FILLER = 24, 576, 64, 255
 DELAY_CS = 10
 HISTOGRAM_BINS = 16
-_LITERALS = 254  # nine-bit codes between two clear codes, one before the table would ask for ten bits
+#: Pixels of the largest canvas that is decoded: a file's head alone may ask for 17 GB.
+MOST_PIXELS = 1 << 24
+_MOST_CODES = 4096
 _GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -41,106 +43,105 @@ class Frame:
 # --- LZW -------------------------------------------------------------------------------------------------------
 
 
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """8-bit samples as an LZW stream of nine-bit literal codes with a clear code before each _LITERALS of them."""
-    n = len(samples)
-    rows = -(-n // _LITERALS)
-    codes = np.full(rows * (_LITERALS + 1), 257, np.uint16)
-    grid = codes.reshape(rows, _LITERALS + 1)
-    grid[:, 0] = 256
-    at = np.arange(n)
-    codes[at + at // _LITERALS + 1] = samples
-    codes = np.append(codes[: n + rows], np.uint16(257))
-    bits = ((codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
-
-
-@lru_cache(maxsize=256)
-def _offsets(first: int, index: int, n: int, smallest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit offsets and widths of codes index..index+n-1 after a clear code; the width follows from the count."""
-    entries = np.minimum(first + np.maximum(0, np.arange(index, index + n) - 1), 4096)
-    width = np.clip(np.frexp(entries.astype(np.float64))[1], smallest, 12).astype(np.int64)
+@lru_cache
+def _layout(min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit offsets and widths of the first codes after a clear code, as far as the table grows: the width follows from
+    the entries that the codes before have added."""
+    entries = (1 << min_size) + 2 + np.maximum(0, np.arange(_MOST_CODES) - 1)
+    width = np.clip(np.frexp(entries.astype(np.float64))[1], min_size + 1, 12).astype(np.int64)
     return np.cumsum(width) - width, width
 
 
-def _codes(words: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """The codes at bit offsets `at` (any shape) of `width` bits; words: the three bytes from each byte on."""
-    return (words[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
+    """samples (each below 2**min_size) as an LZW stream: the longest known string each time, a clear code whenever
+    the table is full."""
+    clear, first = 1 << min_size, (1 << min_size) + 2
+    codes, ends = [clear], [0]  # ends: the places of clear codes
+    table: dict[int, int] = {}
+    size, prefix = first, -1
+    for s in samples:
+        key = prefix << 8 | s
+        known = table.get(key) if prefix >= 0 else s
+        if known is not None:
+            prefix = known
+            continue
+        codes.append(prefix)
+        table[key] = size
+        size += 1
+        prefix = s
+        if size == _MOST_CODES:
+            ends.append(len(codes))
+            codes.append(clear)
+            table, size = {}, first
+    codes += [prefix, clear + 1] if prefix >= 0 else [clear + 1]
+    # a stretch is what follows a clear code up to and with the next one; before the first lies that code alone
+    _, widths = _layout(min_size)
+    lengths = np.diff([*ends, len(codes) - 1])
+    width = np.concatenate([[min_size + 1], *(widths[:n] for n in lengths.tolist())])
+    bits = np.array(codes, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16) & 1
+    return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
+
+
+def _stretches(data: bytes, min_size: int) -> Iterator[list[int]]:
+    """The codes between clear codes, cut out in array operations, as a code's width depends only on its place."""
+    clear, end = 1 << min_size, (1 << min_size) + 1
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint32)
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    total, pos, held = 8 * len(data), 0, []
+    offset, width = _layout(min_size)
+    while True:
+        fits = int(np.searchsorted(offset + width, total - pos, "right"))
+        if not fits:
+            break
+        at = pos + offset[:fits]
+        codes = (words[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << width[:fits]) - 1).astype(np.uint32)
+        special = np.flatnonzero((codes == clear) | (codes == end))
+        if not len(special):  # the table has reached its end without a clear code
+            held += codes.tolist()
+            pos += int(offset[fits - 1] + width[fits - 1])
+            width = np.full(_MOST_CODES, 12)
+            offset = 12 * np.arange(_MOST_CODES)
+            continue
+        k = int(special[0])
+        yield held + codes[:k].tolist()
+        if codes[k] == end:
+            return
+        pos += int(offset[k] + width[k])
+        held = []
+        offset, width = _layout(min_size)
+    yield held
 
 
 def _expand(codes: list[int], clear: int) -> bytes:
-    """The samples of one stretch of codes between clear codes, by the growing table."""
+    """The samples of one stretch of codes, by the growing table."""
     table = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    out, last = [], b""
+    out, last, size = [], b"", clear + 2
     for c in codes:
-        if c < len(table):
+        if c < size:
             now = table[c]
-        elif c == len(table) and last:
+        elif c == size and last:
             now = last + last[:1]
         else:
             raise BadGif("an LZW code is out of range")
-        if last and len(table) < 4096:
+        if last and size < _MOST_CODES:
             table.append(last + now[:1])
+            size += 1
         out.append(now)
         last = now
     return b"".join(out)
 
 
-def lzw_decode(data: bytes, min_size: int) -> bytes:
-    """Samples of any GIF LZW stream.
-
-    Codes are cut out in array operations, as a code's width depends only on its place after a clear code. A
-    stretch between clear codes that is followed by others of its length is cut together with them, and
-    stretches of literal codes need no table.
-    """
+def lzw_decode(data: bytes, min_size: int, most: int | None = None) -> bytes:
+    """Samples of any GIF LZW stream; once `most` are there, the rest is left."""
     if not 2 <= min_size <= 8:
         raise BadGif("LZW code size")
-    clear, smallest = 1 << min_size, min_size + 1
-    first, end = clear + 2, clear + 1
-    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint32)
-    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    total, pos, out = 8 * len(data), 0, []
-    held: list[int] = []  # codes since the last clear code
-    guess = 512
-    while pos + smallest <= total:
-        offset, width = _offsets(first, len(held), guess, smallest)
-        fits = int(np.searchsorted(pos + offset + width, total, "right"))
-        if not fits:
-            break
-        codes = _codes(words, pos + offset[:fits], width[:fits])
-        special = np.flatnonzero((codes == clear) | (codes == end))
-        if not len(special):
-            held += codes.tolist()
-            pos += int(offset[fits - 1] + width[fits - 1])
-            guess = min(2 * guess, 1 << 16)
-            continue
-        k = int(special[0])
-        stretch, stop = codes[:k], codes[k] == end
-        pos += int(offset[k] + width[k])
-        if held:
-            out.append(_expand(held + stretch.tolist(), clear))
-        elif k:
-            out.append(stretch.astype(np.uint8).tobytes() if stretch.max() < clear else _expand(stretch.tolist(), clear))
-        fresh, held = not held, []
-        if stop:
+    out, n = [], 0
+    for codes in _stretches(data, min_size):
+        out.append(_expand(codes, 1 << min_size))
+        n += len(out[-1])
+        if most is not None and n >= most:
             break
-        guess = k + 1 if k else 512
-        if fresh and k:  # stretches of the same length behind it
-            span = int(offset[k] + width[k])
-            rows = (total - pos) // span
-            if rows > 0:
-                block = _codes(words, pos + span * np.arange(rows)[:, None] + offset[: k + 1], width[: k + 1])
-                same = (block[:, k] == clear) & (block[:, :k] < clear).all(1)
-                rows = int(np.argmin(same)) if not same.all() else rows
-                out.append(block[:rows, :k].astype(np.uint8).tobytes())
-                pos += rows * span
-    else:
-        if held:
-            out.append(_expand(held, clear))
-            held = []
-    if held:
-        out.append(_expand(held, clear))
-    return b"".join(out)
+    return b"".join(out)[:most]
 
 
 # --- container -------------------------------------------------------------------------------------------------
@@ -160,18 +161,19 @@ def encode_gif(payload: bytes) -> bytes:
     height = min(len(payload), step) // WIDTH
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), _GRAY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
     for start in range(0, len(payload), step):
-        part = np.frombuffer(payload, np.uint8)[start : start + step]
+        part = payload[start : start + step]
         out += [
             b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY_CS, 0) + b"\0",
             b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0),
             b"\x08",
-            _sub_blocks(lzw_literal(part)),
+            _sub_blocks(lzw_encode(part)),
         ]
     return b"".join([*out, b"\x3b"])
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The composed frames of a GIF: palettes, transparency, interlacing and disposal applied."""
+    """The composed frames of a GIF: palettes, transparency, interlacing and disposal applied. Canvases and frames of
+    more than MOST_PIXELS are refused as damaged."""
     at = 0
 
     def take(n: int) -> bytes:
@@ -195,6 +197,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         raise BadGif("no GIF signature")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", take(7))
     common = palette(flags)
+    if high * wide > MOST_PIXELS:
+        raise BadGif("a canvas of too many pixels")
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, -1
     while True:
@@ -216,7 +220,9 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         if colours is None:
             raise BadGif("a frame without a palette")
         min_size = take(1)[0]
-        samples = np.frombuffer(lzw_decode(blocks(), min_size), np.uint8)[: width * height]
+        if width * height > MOST_PIXELS:
+            raise BadGif("a frame of too many pixels")
+        samples = np.frombuffer(lzw_decode(blocks(), min_size, width * height), np.uint8)
         if len(samples) < width * height:
             samples = np.append(samples, np.zeros(width * height - len(samples), np.uint8))
         image = samples.reshape(height, width)
@@ -248,7 +254,18 @@ def histograms(pixels: np.ndarray) -> list[list[int]]:
     return [np.bincount(solid[:, c] // (256 // HISTOGRAM_BINS), minlength=HISTOGRAM_BINS).tolist() for c in range(3)]
 
 
-FRAMES = "media_id long, frame int, start_cs long, delay_cs int, width int, height int, rgba binary, hist_red array<long>, hist_green array<long>, hist_blue array<long>, error string"
+_COUNTS = "hist_red array<long>, hist_green array<long>, hist_blue array<long>"
+FRAMES = f"media_id long, frame int, start_cs long, delay_cs int, width int, height int, rgba binary, {_COUNTS}, error string"
+#: Bytes of pixels that leave a worker in one batch, one frame at least.
+BATCH_BYTES = 8_000_000
+
+
+def timed_frames(blob: bytes) -> Iterator[tuple[int, int, Frame, list[list[int]]]]:
+    """Of each frame of a GIF its number, its start in hundredths of a second, itself and its colour histograms."""
+    start = 0
+    for number, f in enumerate(decode_gif(blob)):
+        yield number, start, f, histograms(f.pixels)
+        start += f.delay_cs
 
 
 def decode_frames(media: DataFrame, media_id: str = "media_id", data: str = "media") -> DataFrame:
@@ -257,27 +274,41 @@ def decode_frames(media: DataFrame, media_id: str = "media_id", data: str = "med
     Bytes that are no GIF, null or cut short give one row with `error` after the frames that could be read.
     Null ids and repeated rows stay; a GIF without frames has none. Workers hold one GIF's canvas at a time.
     """
+    longs = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), longs, longs, longs, pa.string()]
+    names = [x.split()[0] for x in FRAMES.split(", ")]
 
-    def rows(number: int | None, blob: bytes | None) -> Iterator[dict]:
-        start = frame = 0
+    def rows(media_id_: int | None, blob: bytes | None) -> Iterator[tuple]:
+        end = 0
         try:
             if blob is None:
                 raise BadGif("no bytes")
-            for frame, f in enumerate(decode_gif(blob)):
-                red, green, blue = histograms(f.pixels)
-                yield dict(media_id=number, frame=frame, start_cs=start, delay_cs=f.delay_cs, width=f.pixels.shape[1], height=f.pixels.shape[0], rgba=f.pixels.tobytes(), hist_red=red, hist_green=green, hist_blue=blue, error=None)
-                start += f.delay_cs
+            for number, start, f, counts in timed_frames(blob):
+                yield media_id_, number, start, f.delay_cs, f.pixels.shape[1], f.pixels.shape[0], f.pixels.tobytes(), *counts, None
+                end = start + f.delay_cs
         except BadGif as e:
-            yield dict(media_id=number, frame=None, start_cs=start, delay_cs=None, width=None, height=None, rgba=None, hist_red=None, hist_green=None, hist_blue=None, error=str(e))
-
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("hist_red", longs), ("hist_green", longs), ("hist_blue", longs), ("error", pa.string())])
+            yield media_id_, None, end, *[None] * 7, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal size
+            columns = [pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)]
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for b in batches:
             for number, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for row in rows(number, blob.as_py()):
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    held.append(row)
+                    size += len(row[6] or b"")
+                    if size > BATCH_BYTES:
+                        yield emit()
+        if held:
+            yield emit()
 
     return media.select(F.col(media_id).cast("long").alias("media_id"), F.col(data).alias("media")).mapInArrow(run, FRAMES)
 
@@ -300,26 +331,32 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs long"
+DIGEST = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    f"n_frames int, duration_cs long, frame_start_cs array<long>, {_COUNTS}"
+)
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Reads store_texts' GIFs back: digests of the payload and of the file, and the grey histogram over all
-    frames as the feature (HISTOGRAM_BINS counts)."""
+    """Reads store_texts' GIFs back, frame by frame: digests of the payload, which is the red channel of each frame's
+    own rectangle, and of the file; when each frame starts; colour histograms over all frames, whose red one is the
+    feature as text."""
 
     def one(blob: bytes) -> tuple:
-        parts, hist, frames, time = [], np.zeros(HISTOGRAM_BINS, np.int64), 0, 0
-        for f in decode_gif(blob):
-            grey = f.pixels[f.top : f.top + f.height, f.left : f.left + f.width, 0]
-            parts.append(grey.tobytes())
-            hist += np.bincount(grey.reshape(-1) // (256 // HISTOGRAM_BINS), minlength=HISTOGRAM_BINS)
-            frames, time = frames + 1, time + f.delay_cs
-        payload = b"".join(parts)
-        feature = "grey16:" + ",".join(map(str, hist.tolist()))
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, frames, time
-
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs"]
+        payload, tail, size, time = hashlib.sha256(), b"", 0, 0
+        counts, starts = np.zeros((3, HISTOGRAM_BINS), np.int64), []
+        for _, start, f, found in timed_frames(blob):
+            part = f.pixels[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
+            payload.update(part)
+            tail, size, time = (tail + part)[-32:], size + len(part), start + f.delay_cs
+            starts.append(start)
+            counts += found
+        feature = f"red{HISTOGRAM_BINS}:" + ",".join(map(str, counts[0].tolist()))
+        return size, payload.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature, len(starts), time, starts, *counts.tolist()
+
+    longs = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), longs, longs, longs, longs]
+    names = [x.split()[0] for x in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

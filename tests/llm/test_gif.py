@@ -56,11 +56,35 @@ def test_lzw_streams_round_trip():
                     assert gif.lzw_decode(lzw(samples, min_size, clear_at), min_size) == bytes(samples)
 
 
-def test_literal_streams_round_trip():
+def test_own_streams_equal_the_plain_encoder():
     rng = np.random.default_rng(1)
-    for n in (1, 253, 254, 255, 508, 576, 36_864):
-        x = rng.integers(0, 256, n).astype(np.uint8)
-        assert gif.lzw_decode(gif.lzw_literal(x), 8) == x.tobytes()
+    words = " ".join(rng.choice(["the", "house", "on", "a", "hill", "stood"], 9000)).encode()
+    for x in (b"", b"a", b"aa", b"a" * 9000, words, rng.integers(0, 256, 30_000).astype(np.uint8).tobytes()):
+        assert gif.lzw_decode(gif.lzw_encode(x), 8) == x
+        if x and len(x) < 5000:
+            assert gif.lzw_encode(x) == lzw(x, 8)
+    x = rng.integers(0, 4, 20_000).astype(np.uint8).tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(x, 2), 2) == x
+    assert gif.lzw_encode(b"abab" * 600) == lzw(b"abab" * 600, 8)
+
+
+def test_prose_gets_smaller():
+    text = b"It was the best of times, it was the worst of times, it was the age of wisdom. " * 60
+    payload = gif.padded(text)
+    media = gif.encode_gif(payload)
+    assert len(media) < 0.5 * len(payload)
+
+
+def test_a_canvas_or_frame_that_is_too_large_is_refused():
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6) + b"\x3b"
+    with pytest.raises(gif.BadGif):
+        list(gif.decode_gif(head))
+    frame = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\0\x3b"
+    with pytest.raises(gif.BadGif):
+        list(gif.decode_gif(frame))
+    empty = b"GIF89a" + struct.pack("<HHBBB", 0, 0, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 0, 0, 0) + b"\x02\0\x3b"
+    (f,) = gif.decode_gif(empty)
+    assert f.pixels.size == 0 and gif.histograms(f.pixels)[0] == [0] * 16
 
 
 def _file(frames, size=(4, 4), palette=((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255))):
@@ -91,7 +115,7 @@ def test_interlaced_rows():
 
 def test_damaged_files():
     whole = gif.encode_gif(b"x" * 576)
-    for cut in (0, 5, 20, 900, len(whole) - 1):
+    for cut in (0, 5, 20, len(whole) - 30, len(whole) - 1):
         with pytest.raises(gif.BadGif):
             list(gif.decode_gif(whole[:cut]))
 
@@ -115,6 +139,20 @@ def test_query_equals_brute_force(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
+        counts = [sum(payload.count(bytes((16 * k + i,))) for i in range(16)) for k in range(16)]
+        assert r.hist_red == r.hist_green == r.hist_blue == counts
+        assert r.feature == "red16:" + ",".join(map(str, counts))
+        assert r.frame_start_cs == [10 * i for i in range(-(-len(payload) // (576 * 64)))] and r.duration_cs == 10 * r.n_frames
+    stored = {r.doc_id: bytes(r.media) for r in gif.store_texts(docs).collect()}
+    for r in rows:
+        media = stored[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert sum(map(len, stored.values())) < sum(r.payload_bytes for r in rows)
+    some = docs.filter("doc_id < 40").select("doc_id", "n_chars")
+    frames = gif.decode_frames(gif.store_texts(docs).join(some, "doc_id"), "doc_id").collect()
+    for d in {f.media_id for f in frames}:
+        mine = sorted((f for f in frames if f.media_id == d), key=lambda f: f.frame)
+        assert b"".join(bytes(f.rgba)[::4] for f in mine)[: len(texts[d].encode())] == texts[d].encode()
     empty = gif.media_digests(gif.store_texts(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))).collect()
     assert {(r.n_bytes, r.payload_bytes, r.n_frames) for r in empty} == {(0, 576, 1)}
     assert len({r.media_sha256 for r in empty}) == 1
