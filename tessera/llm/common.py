@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -45,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
+    """df as a written table, dealt out by key as Spark's shuffles deal: joins on key with it move only the other side.
+    The table's name is dropped at the end, its files stay in the shared folder."""
+    spark = df.sparkSession
+    table = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about `limit` bytes of text (one row at least)."""
     for batch in batches:

@@ -5,11 +5,11 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as cp
-from tests.llm.test_near_dedup import brute_classes
+from tests.llm.test_near_dedup import brute_classes, counted_idf
 from tests.llm.test_packing import _valid
 from tests.llm.test_pii import PLAIN
 
-from tessera.llm import near_dedup, pii, quality
+from tessera.llm import pii, quality
 from tessera.llm.common import written
 
 
@@ -32,8 +32,8 @@ def test_stages_one_by_one(spark, sf_dir):
                 groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append((-len(r.text or ""), d))
             assert set(after) == {min(g)[1] for g in groups.values()}
         elif name == "near_dedup":
-            idf = near_dedup.document_frequencies(docs.selectExpr("coalesce(text, '') as text"))
-            assert set(after) == {min(g) for g in brute_classes([(d, r.text) for d, r in rows.items()], idf)}
+            texts = [(d, r.text) for d, r in rows.items()]
+            assert set(after) == {min(g) for g in brute_classes(texts, counted_idf(texts))}
         else:
             assert set(after) == set(rows)
             for d, r in rows.items():
