@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
+from tessera.session import written
 
 XYZ = ("x", "y", "z")
 CELL = ("cx", "cy", "cz")
@@ -65,21 +66,25 @@ LEVELS = (0.25, 0.5, 1.0, 5.0**0.5)
 
 def knn_expanding(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, radii: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
     """As knn_within(radii[-1]), by ever wider grids: a query is done at the first radius that holds k points, so dense
-    places never meet the wide cells' many pairs."""
+    places never meet the wide cells' many pairs. Each level's pairs and open queries are written tables, so the plan
+    does not grow with the levels; the search ends when no query is open."""
     out, rest = None, queries
     for level, radius in enumerate(radii):
-        found = knn_within(rest, points, k, radius, query_id, point_id, by)
-        if level < len(radii) - 1:
-            full = found.groupBy(query_id).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select(query_id)
-            rest = rest.join(full, query_id, "left_anti")
-            found = found.join(full, query_id, "left_semi")
-        out = found if out is None else out.unionByName(found)
+        last = level == len(radii) - 1
+        found = written(knn_within(rest, points, k, radius, query_id, point_id, by), "knn-pairs")
+        full = found.filter(F.col("rank") == k).select(query_id)
+        done = found if last else found.join(full, query_id, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if not last:
+            rest = written(rest.join(full, query_id, "left_anti"), "knn-open")
+            if rest.isEmpty():
+                break
     return out
 
 
 def knn_unbounded(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, start: float, by: Sequence[str] = ()) -> DataFrame:
     """The k nearest points of each query however far (all of them if fewer than k): the grid's side doubles until
-    every query has k points within it or the grid is wider than the cloud. One count per round goes to the driver."""
+    every query has k points within it or the grid is wider than the cloud."""
     span = points.agg(*(F.max(a).alias(f"h_{a}") for a in XYZ), *(F.min(a).alias(f"l_{a}") for a in XYZ))
     far = queries.agg(*(F.max(a).alias(f"h_{a}") for a in XYZ), *(F.min(a).alias(f"l_{a}") for a in XYZ))
     low, high = span.first(), far.first()
@@ -94,10 +99,11 @@ def knn_unbounded(queries: DataFrame, points: DataFrame, k: int, query_id: str,
 
 def insert_new(points: DataFrame, existing: DataFrame, leaf: float, by: Sequence[str] = ()) -> DataFrame:
     """The points with no existing point nearer than leaf: a spatial anti-join. Points of one batch are not compared
-    with one another."""
+    with one another. The rows are numbered once, in a written table: numbers given anew on either side of the join
+    could differ. Points with an id need none, see insert_new_by_id."""
     held = with_cells(existing, leaf).select(*by, *CELL, *(F.col(a).alias(f"p_{a}") for a in XYZ))
     near = c.squared_distance(c.vector(*XYZ), c.vector(*(f"p_{a}" for a in XYZ))) < leaf * leaf
-    marked = points.withColumn("_row", F.monotonically_increasing_id())
+    marked = written(points.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     taken = _around(marked, leaf).join(held, [*by, *CELL]).filter(near).select("_row").distinct()
     return marked.join(taken, "_row", "left_anti").drop("_row")
 
