@@ -169,9 +169,9 @@ def cell(c: Column, size: float) -> Column:
 
 
 def packed_cell(cells: Vector) -> Column:
-    """Three cell numbers in one long; numbers beyond 2**20 wrap around."""
+    """Three cell numbers in one long, x lowest; numbers beyond 2**20 wrap around."""
     parts = [(c + PACK_BIAS).bitwiseAND(F.lit((1 << PACK_BITS) - 1)) for c in cells]
-    return F.shiftleft(parts[0], 2 * PACK_BITS).bitwiseOR(F.shiftleft(parts[1], PACK_BITS)).bitwiseOR(parts[2])
+    return F.shiftleft(parts[2], 2 * PACK_BITS).bitwiseOR(F.shiftleft(parts[1], PACK_BITS)).bitwiseOR(parts[0])
 
 
 # --- colours ---------------------------------------------------------------------------------------------------
@@ -181,10 +181,10 @@ RAMP = (-2.0, 30.0)
 
 
 def hue_colour(share: Column) -> list[Column]:
-    """Red, green, blue (0 to 255) along the ramp blue, cyan, green, yellow, red for a share of 0 to 1."""
+    """Red, green, blue (0 to 255, fractions cut off) along the ramp blue, cyan, green, yellow, red for a share of 0 to 1."""
     s = clamp(share, 0.0, 1.0) * 4.0
     up = lambda at: clamp(s - at, 0.0, 1.0)
-    return [F.round(255.0 * c).cast("int") for c in (up(2.0), F.when(s < 2.0, up(0.0)).otherwise(1.0 - up(3.0)), 1.0 - up(1.0))]
+    return [(255.0 * c).cast("int") for c in (up(2.0), F.when(s < 2.0, up(0.0)).otherwise(1.0 - up(3.0)), 1.0 - up(1.0))]
 
 
 def height_colour(z: Column) -> list[Column]:

@@ -66,6 +66,22 @@ def relative_errors(pairs: DataFrame, by: Sequence[str], on: str, step_ns: int,
     return both.agg(F.sqrt(F.avg((moved[0] - moved[1]) ** 2)).alias("rpe_rmse"), F.count("*").alias("n"))
 
 
+def extrinsic_drift(results: DataFrame, translation: Sequence[float], quaternion: Sequence[float], by: Sequence[str] = ("seq",), on: str = "scan_index") -> DataFrame:
+    """How far the estimated extrinsic of each key's last result is from its seed: degrees and metres. Null extrinsics
+    give nulls."""
+    last = results.groupBy(*by).agg(F.max_by(F.struct("extrinsic_p", "extrinsic_q"), on).alias("_e"))
+    p, q = ([F.col(f"_e.{n}")[i] for i in range(k)] for n, k in (("extrinsic_p", 3), ("extrinsic_q", 4)))
+    away = c.norm([x - float(y) for x, y in zip(p, translation, strict=True)])
+    return last.select(*by, rotation_angle_degrees(c.literal(tuple(quaternion)), q).alias("drift_degrees"), away.alias("drift_m"))
+
+
+def progress(results: DataFrame, every: int = 100, by: Sequence[str] = ("seq",), on: str = "scan_index") -> DataFrame:
+    """The counters of every so many scans and of the last: scans, converged scans, iterations and their mean, dropped."""
+    last = results.groupBy(*by).agg(F.max(on).alias("_last"))
+    rows = results.join(last, list(by)).filter((F.col(on) % every == 0) | (F.col(on) == F.col("_last")))
+    return rows.select(*by, on, "converged_scans", "total_iterations", (F.col("total_iterations") / F.col(on)).alias("mean_iterations"), "dropped_scans", "map_size")
+
+
 def tilt_degrees(q: Sequence[Column], sign: float = 1.0) -> Column:
     """The angle between the body's and the world's vertical: acos of the rotation's last diagonal entry."""
     w, x, y, z = q

@@ -106,13 +106,14 @@ def topics(messages: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return messages.filter(F.col("topic").isin(list(wanted)))
 
 
-def multiplex(streams: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
-    """The streams' common columns under one another, each row tagged with its stream."""
+def multiplex(streams: dict[str, DataFrame], columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The streams' common columns under one another, each row tagged with its stream; sorted by `order` (a log's
+    chunk and offset, say) if given."""
     out = None
     for tag, df in streams.items():
         rows = df.select(F.lit(tag).alias("stream"), *columns)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.orderBy(*order) if order else out
 
 
 def deskew(points: DataFrame, poses: DataFrame, by: Sequence[str], scan: Sequence[str], extrinsic: tuple | None = None, bucket: int = BUCKET) -> DataFrame:

@@ -59,16 +59,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, pay
     return found.select(*left.columns, F.col("before.t").alias(f"{on}_right"), *(F.col(f"before.{p}").alias(p) for p in payload))
 
 
-def asof_interpolate(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], bucket: int = BUCKET, clamped: bool = False) -> DataFrame:
-    """left with right's values interpolated linearly at its times. Outside right's span: null, or the end's if clamped."""
-    found = _neighbours(left, right, by, on, values, bucket, ("before", "after"))
+def asof_interpolate(
+    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], bucket: int = BUCKET, clamped: bool = False, quaternion: Sequence[str] = ()
+) -> DataFrame:
+    """left with right's values interpolated linearly at its times, and the four columns of a unit quaternion (w, x, y, z),
+    if named, along the shorter great arc. Outside right's span: null, or the end's if clamped."""
+    found = _neighbours(left, right, by, on, [*values, *quaternion], bucket, ("before", "after"))
     a, b = F.col("before"), F.col("after")
     span = (b["t"] - a["t"]).cast("double")
     alpha = F.when(span > 0, (F.col(on) - a["t"]).cast("double") / span).otherwise(0.0)
     made = [c.lerp(a[v], b[v], alpha) for v in values]
+    if quaternion:
+        made += c.quat_slerp([a[v] for v in quaternion], [b[v] for v in quaternion], alpha)
+    names = [*values, *quaternion]
     if clamped:
-        made = [F.coalesce(m, a[v], b[v]) for m, v in zip(made, values, strict=True)]
-    return found.select(*left.columns, *(m.alias(v) for m, v in zip(made, values, strict=True)))
+        made = [F.coalesce(m, a[v], b[v]) for m, v in zip(made, names, strict=True)]
+    return found.select(*left.columns, *(m.alias(v) for m, v in zip(made, names, strict=True)))
 
 
 #: Columns of a pose: position and unit quaternion.
@@ -138,24 +144,37 @@ def interval_join(intervals: DataFrame, samples: DataFrame, by: Sequence[str], s
 
 
 def interval_slice(
-    intervals: DataFrame, samples: DataFrame, by: Sequence[str], start: str, stop: str, on: str, values: Sequence[str], bucket: int = BUCKET, drop_exact_end: bool = False
+    intervals: DataFrame,
+    samples: DataFrame,
+    by: Sequence[str],
+    start: str,
+    stop: str,
+    on: str,
+    values: Sequence[str],
+    bucket: int = BUCKET,
+    drop_exact_end: bool = False,
+    quaternion: Sequence[str] = (),
 ) -> DataFrame:
-    """Per interval the samples inside it and one at each end, interpolated or exact; intervals that the samples do not
-    cover have none. drop_exact_end: without the end row where a sample lies exactly there."""
+    """Per interval the samples inside it and one at each end, interpolated or exact (a quaternion's columns along the
+    great arc); intervals that the samples do not cover have none, an interval of one instant has one row. Repeated
+    intervals have theirs each, and samples of one time stay. drop_exact_end: without the end row where a sample lies
+    exactly there."""
     keys = list(intervals.columns)
-    inner = interval_join(intervals, samples, by, start, stop, on, bucket).select(*keys, on, *values)
+    names = [*values, *quaternion]
+    inner = interval_join(intervals, samples, by, start, stop, on, bucket).select(*keys, on, *names)
     out = inner
     ends = []
     for edge in (start, stop):
-        at = asof_interpolate(intervals.withColumn(on, F.col(edge)), samples, by, on, values, bucket)
+        open_ = intervals if edge == start else intervals.filter(F.col(start) < F.col(stop))
+        at = asof_interpolate(open_.withColumn(on, F.col(edge)), samples, by, on, values, bucket, quaternion=quaternion)
         if edge == stop and drop_exact_end:
             exact = samples.select(*by, F.col(on).alias("_exact")).distinct()
             at = at.join(exact, [*(at[b] == exact[b] for b in by), at[on] == exact["_exact"]], "left_anti")
-        ends.append(at.filter(F.col(values[0]).isNotNull()).select(*keys, on, *values))
+        ends.append(at.filter(F.col(names[0]).isNotNull()).select(*keys, on, *names))
     covered = samples.groupBy(*by).agg(F.min(on).alias("_low"), F.max(on).alias("_high"))
     out = out.unionByName(ends[0]).unionByName(ends[1])
     out = out.join(covered, list(by))
-    return out.filter((F.col("_low") <= F.col(start)) & (F.col("_high") >= F.col(stop))).drop("_low", "_high").dropDuplicates([*keys, on])
+    return out.filter((F.col("_low") <= F.col(start)) & (F.col("_high") >= F.col(stop))).drop("_low", "_high")
 
 
 def covered(intervals: DataFrame, samples: DataFrame, by: Sequence[str], start: str, stop: str, on: str) -> DataFrame:

@@ -13,11 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
 from tessera.operators import estimation, evaluation, inertial, planes, spatial, timejoin
-from tessera.session import table
+from tessera.session import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,8 +76,8 @@ def voxel_centroid(spark, d):
     return _rounded(spatial.voxel_centroid(pts(spark, d), 5.0), "x", "y", "z", "intensity")
 
 
-@query(f"""SELECT {", ".join(ID)}, (((CAST(floor(x) AS BIGINT) + 1048576) & 2097151) << 42) | (((CAST(floor(y) AS BIGINT) + 1048576) & 2097151) << 21)
-  | ((CAST(floor(z) AS BIGINT) + 1048576) & 2097151) AS packed FROM ({PTS_SQL})""")
+@query(f"""SELECT {", ".join(ID)}, (CAST(floor(x) AS BIGINT) + 1048576) % 2097152 + 2097152 * ((CAST(floor(y) AS BIGINT) + 1048576) % 2097152)
+  + 4398046511104 * ((CAST(floor(z) AS BIGINT) + 1048576) % 2097152) AS packed FROM ({PTS_SQL})""")
 def voxel_key_packed(spark, d):
     return pts(spark, d).select(*ID, c.packed_cell([c.cell(F.col(a), 1.0) for a in spatial.XYZ]).alias("packed"))
 
@@ -233,9 +234,9 @@ def slerp(spark, d):
 _RAMP_SQL = "(least(greatest((z + 2) / 32, 0.0), 1.0) * 4)"
 
 
-@query(f"""SELECT {', '.join(ID)}, CAST(round(255 * least(greatest(s - 2, 0.0), 1.0)) AS INT) AS red,
-  CAST(round(255 * CASE WHEN s < 2 THEN least(greatest(s, 0.0), 1.0) ELSE 1 - least(greatest(s - 3, 0.0), 1.0) END) AS INT) AS green,
-  CAST(round(255 * (1 - least(greatest(s - 1, 0.0), 1.0))) AS INT) AS blue FROM (SELECT *, {_RAMP_SQL} AS s FROM ({PTS_SQL}))""")
+@query(f"""SELECT {', '.join(ID)}, CAST(floor(255 * least(greatest(s - 2, 0.0), 1.0)) AS INT) AS red,
+  CAST(floor(255 * CASE WHEN s < 2 THEN least(greatest(s, 0.0), 1.0) ELSE 1 - least(greatest(s - 3, 0.0), 1.0) END) AS INT) AS green,
+  CAST(floor(255 * (1 - least(greatest(s - 1, 0.0), 1.0))) AS INT) AS blue FROM (SELECT *, {_RAMP_SQL} AS s FROM ({PTS_SQL}))""")
 def height_colour(spark, d):
     return pts(spark, d).select(*ID, *(v.alias(n) for v, n in zip(c.height_colour(F.col("z")), ("red", "green", "blue"), strict=True)))
 
@@ -452,13 +453,13 @@ def run_summary(spark, d):
     return _rounded(evaluation.run_summary(rows, ["seq"]), "converged_percent", "mean_iterations")
 
 
-_PAIRED_SQL = f"""SELECT label, x AS ex, y AS ey, z AS ez, 0.8 * x + 0.6 * z + 0.01 * (vec_id % 7) AS tx, y + 0.5 AS ty, -0.6 * x + 0.8 * z - 0.01 * (vec_id % 5) AS tz FROM ({CLOUD_SQL})"""
+_PAIRED_SQL = f"""SELECT vec_id, label, x AS ex, y AS ey, z AS ez, 0.8 * x + 0.6 * z + 0.01 * (vec_id % 7) AS tx, y + 0.5 AS ty, -0.6 * x + 0.8 * z - 0.01 * (vec_id % 5) AS tz FROM ({CLOUD_SQL})"""
 
 
 def _paired(spark, d):
     x, y, z = c.vector(*spatial.XYZ)
     true = (0.8 * x + 0.6 * z + 0.01 * (F.col("vec_id") % 7), y + 0.5, -0.6 * x + 0.8 * z - 0.01 * (F.col("vec_id") % 5))
-    return cloud(spark, d).select("label", x.alias("ex"), y.alias("ey"), z.alias("ez"), *(t.alias(n) for t, n in zip(true, evaluation.TRUE, strict=True)))
+    return cloud(spark, d).select("vec_id", "label", x.alias("ex"), y.alias("ey"), z.alias("ez"), *(t.alias(n) for t, n in zip(true, evaluation.TRUE, strict=True)))
 
 
 @query(f"SELECT label, round(sqrt(avg((ex - tx) * (ex - tx) + (ey - ty) * (ey - ty) + (ez - tz) * (ez - tz))), 6) AS ate_rmse, count(*) AS n FROM ({_PAIRED_SQL}) GROUP BY label")
@@ -502,16 +503,119 @@ def tum_format(spark, d):
 # --- sequential operators over synthetic scenes (no SQL twin) ------------------------------------------------------
 
 
-@query()
-def ekf_replay(spark, d):
-    """The whole filter over two sequences of a room at rest; independent of the tables."""
+_MESSAGE_SQL = f"SELECT event_id, stamp_ns, a, a * 0.5 AS b, a + event_id AS c FROM ({IMU_SQL})"
+
+
+def _message_rows(spark, d):
+    return imu(spark, d).select("event_id", "stamp_ns", "a", (F.col("a") * 0.5).alias("b"), (F.col("a") + F.col("event_id")).alias("c"))
+
+
+@query(f"SELECT event_id, stamp_ns, 1.0 AS qw, 0.0 AS qx, 0.0 AS qy, 0.0 AS qz, a AS wx, b AS wy, c AS wz, b AS ax, c AS ay, a AS az FROM ({_MESSAGE_SQL})")
+def imu_decode(spark, d):
+    """Every event as a serialised Imu message and back."""
+    from tessera.plans import messages
+    from tessera.sources import decoders
+
+    named = {"wx": "a", "wy": "b", "wz": "c", "ax": "b", "ay": "c", "az": "a"}
+    rows = _message_rows(spark, d).select("event_id", "stamp_ns", F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(q) for q in ("qx", "qy", "qz")), *(F.col(v).alias(k) for k, v in named.items()))
+    return decoders.imu_rows(messages.imu_messages(rows, "event_id"), ["event_id"])
+
+
+@query(f"SELECT event_id, stamp_ns, a AS px, b AS py, c AS pz, 0.5 AS qw, b AS qx, c AS qy, a AS qz FROM ({_MESSAGE_SQL})")
+def pose_decode(spark, d):
+    """Every event as a serialised PoseStamped message and back."""
+    from tessera.plans import messages
+    from tessera.sources import decoders
+
+    named = {"px": "a", "py": "b", "pz": "c", "qx": "b", "qy": "c", "qz": "a"}
+    rows = _message_rows(spark, d).select("event_id", "stamp_ns", F.lit(0.5).alias("qw"), *(F.col(v).alias(k) for k, v in named.items()))
+    return decoders.pose_rows(messages.pose_messages(rows, "event_id"), ["event_id"])
+
+
+@query("""SELECT l_orderkey, l_orderkey * 1000000007 AS stamp_ns, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pt_idx,
+  CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) AS x, CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS y, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS z,
+  CAST(l_suppkey % 900 AS DOUBLE) AS intensity, l_linenumber AS ring, l_partkey AS t_offset_ns FROM lineitem""")
+def cloud_decode(spark, d):
+    """Every order as a serialised point cloud of its lines and back."""
+    from tessera.plans import messages
+    from tessera.sources import decoders
+
+    point = {"x": F.col("l_quantity").cast("float"), "y": F.col("l_discount").cast("float"), "z": F.col("l_tax").cast("float"), "reflectivity": F.col("l_suppkey") % 900, "ring": F.col("l_linenumber"), "t": F.col("l_partkey")}
+    ordered = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(*(v.alias(k) for k, v in point.items())).alias("p"))
+    scans = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(ordered)).alias("o"))  # a few lines an order
+    scans = scans.select("l_orderkey", (F.col("l_orderkey") * 1_000_000_007).alias("stamp_ns"), F.col("o.p").alias("points"))
+    rows = decoders.point_rows(messages.cloud_messages(scans, "l_orderkey"), decoders.decode_cloud, ["l_orderkey"])
+    return rows.select("l_orderkey", "stamp_ns", "pt_idx", *(F.col(a).cast("double").alias(a) for a in ("x", "y", "z", "intensity")), "ring", "t_offset_ns")
+
+
+@query(f"SELECT vec_id, round(x, 9) + 0.0 AS px, round(y, 9) + 0.0 AS py, round(z, 9) + 0.0 AS pz FROM ({CLOUD_SQL})")
+def tum_round_trip(spark, d):
+    """Every point as a pose in a trajectory file, in time order, and back."""
+    from uuid import uuid4
+
+    from tessera.sources import tum
+
+    path = f"{shared_dir(spark)}/trajectory-{uuid4().hex}.tum"
+    level = {"qw": 1.0, "qx": 0.0, "qy": 0.0, "qz": 0.0}
+    poses = cloud(spark, d).select((F.col("vec_id") * c.NANOS).alias("t_ns"), *(F.col(a).alias(f"p{a}") for a in spatial.XYZ), *(F.lit(v).alias(k) for k, v in level.items()))
+    tum.write(poses, path)
+    return tum.read(spark, path).select(F.col("t_sec").cast("long").alias("vec_id"), *((F.col(f"t{a}") + 0.0).alias(f"p{a}") for a in spatial.XYZ))
+
+
+@query(f"""WITH p AS ({_PAIRED_SQL})
+  SELECT round(sqrt(avg(pow(sqrt(pow(b.ex - a.ex, 2) + pow(b.ey - a.ey, 2) + pow(b.ez - a.ez, 2)) - sqrt(pow(b.tx - a.tx, 2) + pow(b.ty - a.ty, 2) + pow(b.tz - a.tz, 2)), 2))), 6) AS rpe_rmse,
+  count(*) AS n FROM p AS a JOIN p AS b ON b.vec_id = a.vec_id + 10""")
+def rpe_rmse(spark, d):
+    pairs = _paired(spark, d).withColumn("t_ns", F.col("vec_id") * c.NANOS)
+    return _rounded(evaluation.relative_errors(pairs, [], "t_ns", 10 * c.NANOS, 0), "rpe_rmse")
+
+
+@query(f"""WITH s AS (SELECT seq, stamp_ns, event_id, a / 1000 AS h FROM ({IMU_SQL})),
+  n AS (SELECT *, lead(stamp_ns) OVER w AS t1, lead(h) OVER w AS h1 FROM s WINDOW w AS (PARTITION BY seq ORDER BY stamp_ns, event_id)),
+  m AS (SELECT *, h + 0.25 * (h1 - h) AS g FROM n WHERE t1 IS NOT NULL AND (t1 - stamp_ns) % 4 = 0 AND t1 > stamp_ns)
+  SELECT event_id, round(cos(g), 6) + 0.0 AS qw, round(sin(g), 6) + 0.0 AS qz FROM m""")
+def asof_slerp(spark, d):
+    """Rotations about one axis, interpolated at a quarter of the way between an event and its sequence's next."""
+    rows = imu(spark, d).select("seq", "stamp_ns", "event_id", (F.col("a") / 1000).alias("h"))
+    w = W.partitionBy("seq").orderBy("stamp_ns", "event_id")
+    quarter = rows.withColumn("t1", F.lead("stamp_ns").over(w)).filter("t1 > stamp_ns and (t1 - stamp_ns) % 4 = 0")
+    quarter = quarter.select("seq", "event_id", (F.col("stamp_ns") + F.floor((F.col("t1") - F.col("stamp_ns")) / 4)).cast("long").alias("t_ns"))
+    zero = F.lit(0.0)
+    turns = rows.select("seq", F.col("stamp_ns").alias("t_ns"), F.cos("h").alias("qw"), zero.alias("qx"), zero.alias("qy"), F.sin("h").alias("qz"))
+    found = timejoin.asof_interpolate(quarter, turns, ["seq"], "t_ns", [], quaternion=("qw", "qx", "qy", "qz"))
+    return _rounded(found.select("event_id", "qw", "qz"), "qw", "qz")
+
+
+def _still_run(spark):
     from tessera.params import Init, Params, Preprocess
     from tessera.plans import scenes
     from tessera.streaming.replay import replay, sensor_rows
 
     rows = sensor_rows(scenes.still_samples(spark, 2, 2.2), scenes.room_scans(spark, 2, 8))
-    params = Params(lidar_time_offset_sec=0.0, preprocess=Preprocess(0.25), init=Init(gravity_magnitude=9.81))
-    return _rounded(replay(rows, params), "px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz")
+    return replay(rows, Params(lidar_time_offset_sec=0.0, preprocess=Preprocess(0.25), init=Init(gravity_magnitude=9.81)))
+
+
+@query("SELECT * FROM (VALUES ('s0', 4, 4, 0), ('s0', 8, 8, 0), ('s1', 4, 4, 0), ('s1', 8, 8, 0)) AS t(seq, scan_index, converged_scans, dropped_scans)")
+def replay_progress(spark, d):
+    """Counters of a run at rest, independent of the tables."""
+    return evaluation.progress(_still_run(spark), 4).select("seq", "scan_index", "converged_scans", "dropped_scans")
+
+
+@query("SELECT * FROM (VALUES ('s0', 0.0, 0.0, 0.0, 0.0, -9.81), ('s1', 0.0, 0.0, 0.0, 0.0, -9.81)) AS t(seq, drift_degrees, drift_m, gyro_bias, speed, gravity_z)")
+def replay_state(spark, d):
+    """What a run at rest must leave: no drift of a pinned extrinsic, no bias, no speed, gravity straight down."""
+    run = _still_run(spark)
+    drift = evaluation.extrinsic_drift(run, (0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0))
+    state = run.groupBy("seq").agg(F.max_by(F.struct("gyro_bias", "vx", "vy", "vz", "gravity"), "scan_index").alias("s"))
+    size = c.norm([F.col("s.gyro_bias")[i] for i in range(3)])
+    state = state.select("seq", size.alias("gyro_bias"), c.norm(c.vector("s.vx", "s.vy", "s.vz")).alias("speed"), F.col("s.gravity")[2].alias("gravity_z"))
+    return _rounded(drift.join(state, "seq"), "drift_degrees", "drift_m", "gyro_bias", "speed", "gravity_z", digits=3)
+
+
+@query()
+def ekf_replay(spark, d):
+    """The whole filter over two sequences of a room at rest; independent of the tables."""
+    return _rounded(_still_run(spark), "px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz")
 
 
 @query()

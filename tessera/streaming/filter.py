@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tessera.functions.manifold import ACCEL_BIAS, DIM, EXT_POS, EXT_ROT, GRAVITY, GYRO_BIAS, POS, THETA, VEL, State, between, se3_interpolate, skew, so3_exp, tangent_basis
+from tessera.functions.manifold import ACCEL_BIAS, DIM, EXT_POS, EXT_ROT, GRAVITY, GYRO_BIAS, POS, THETA, VEL, State, between, se3_exp_many, se3_log, skew, so3_exp, tangent_basis
 from tessera.operators.spatial import LEVELS
 from tessera.params import Association, Iekf, ImuNoise, Init, Map, Params
 
 #: Variance that holds the extrinsic where it is not estimated.
 PINNED = 1e-12
-#: Samples this long before the last scan stay, for scans that overlap it.
+#: Samples this long before the last scan and all pending ones stay, for scans that overlap it; what comes later still
+#: and starts before them is counted as dropped.
 OVERLAP_NS = 1_000_000_000
 
 
@@ -88,14 +89,15 @@ class ImuBuffer:
             raise ValueError(f"samples do not cover [{t0}, {t1}]")
         stamps = np.array(self.stamps, np.int64)
         inside = np.flatnonzero((stamps > t0) & (stamps < t1))
-        times = [t0, *stamps[inside].tolist()]
         exact = bool((stamps == t1).any())
-        if t1 > t0 and not (exact and drop_exact_end):
-            times.append(t1)
-        return np.array(times, np.int64), np.array([self.at(t) for t in times])
+        last = [t1] if t1 > t0 and not (exact and drop_exact_end) else []
+        values = [self._at(t0, stamps), *(self.values[i] for i in inside.tolist()), *(self._at(t, stamps) for t in last)]
+        return np.array([t0, *stamps[inside].tolist(), *last], np.int64), np.array(values)
 
     def at(self, t: int) -> np.ndarray:
-        stamps = np.array(self.stamps, np.int64)
+        return self._at(t, np.array(self.stamps, np.int64))
+
+    def _at(self, t: int, stamps: np.ndarray) -> np.ndarray:
         i = int(np.searchsorted(stamps, t))
         if i < len(stamps) and stamps[i] == t:
             return self.values[i]
@@ -118,26 +120,29 @@ def scan_trajectory(s: State, stamps: np.ndarray, values: np.ndarray) -> list[tu
     return out
 
 
-def pose_at(trajectory: list, t: int) -> tuple[np.ndarray, np.ndarray]:
-    stamps = [x[0] for x in trajectory]
-    if t <= stamps[0]:
-        return trajectory[0][1:]
-    if t >= stamps[-1]:
-        return trajectory[-1][1:]
-    i = int(np.searchsorted(stamps, t, "right"))
-    a, b = trajectory[i - 1], trajectory[i]
-    return se3_interpolate(a[1:], b[1:], (t - a[0]) / (b[0] - a[0]))
+def poses_at(trajectory: list, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations and positions on the trajectory's geodesics at many times at once; its ends stand for what is beyond."""
+    stamps = np.array([x[0] for x in trajectory], np.int64)
+    rs, ps = np.array([x[1] for x in trajectory]), np.array([x[2] for x in trajectory])
+    if len(stamps) == 1:
+        return np.repeat(rs, len(times), 0), np.repeat(ps, len(times), 0)
+    at = np.clip(np.searchsorted(stamps, times, "right"), 1, len(stamps) - 1) - 1
+    alpha = np.clip((times - stamps[at]) / (stamps[at + 1] - stamps[at]), 0.0, 1.0)
+    twists = np.zeros((len(stamps), 2, 3))
+    for i in np.unique(at).tolist():
+        twists[i] = se3_log(rs[i].T @ rs[i + 1], rs[i].T @ (ps[i + 1] - ps[i]))
+    turn, move = se3_exp_many(alpha[:, None] * twists[at, 0], alpha[:, None] * twists[at, 1])
+    return rs[at] @ turn, np.einsum("nij,nj->ni", rs[at], move) + ps[at]
 
 
 def deskew(points: np.ndarray, times: np.ndarray, trajectory: list, t_ref: int, s: State) -> np.ndarray:
     """Lidar points measured at `times` moved to where the lidar was at t_ref. One pose per distinct time."""
     distinct, which = np.unique(times, return_inverse=True)
-    r_ref, p_ref = pose_at(trajectory, t_ref)
-    rs, ts = np.empty((len(distinct), 3, 3)), np.empty((len(distinct), 3))
-    for i, t in enumerate(distinct.tolist()):
-        r, p = pose_at(trajectory, t)
-        rs[i] = s.RE.T @ r_ref.T @ r @ s.RE
-        ts[i] = s.RE.T @ (r_ref.T @ (r @ s.pE + p - p_ref) - s.pE)
+    (r_ref,), (p_ref,) = poses_at(trajectory, np.array([t_ref], np.int64))
+    r, p = poses_at(trajectory, distinct)
+    back = s.RE.T @ r_ref.T
+    rs = back @ r @ s.RE
+    ts = (r @ s.pE + p - p_ref) @ back.T - s.RE.T @ s.pE
     return np.einsum("nij,nj->ni", rs[which], points) + ts[which]
 
 
@@ -345,6 +350,10 @@ class Result:
     iterations: int
     converged: bool
     map_size: int
+    cov: np.ndarray
+    converged_scans: int
+    total_iterations: int
+    dropped_scans: int
 
 
 class Sequence:
@@ -359,7 +368,7 @@ class Sequence:
         self.cov: np.ndarray | None = None
         self.last_ref = 0
         self.map = LocalMap(params.map)
-        self.scans = self.converged_scans = self.total_iterations = 0
+        self.scans = self.converged_scans = self.total_iterations = self.dropped_scans = 0
 
     def add_imu(self, stamp: int, value: np.ndarray) -> None:
         self.buffer.push(stamp, value)
@@ -402,6 +411,7 @@ class Sequence:
             if not self.buffer.covers(min(self.last_ref, t0), t1):
                 if self.buffer.stamps and self.buffer.stamps[0] > min(self.last_ref, t0):
                     self.pending.pop(0)  # starts before all samples that are left: it can never be covered
+                    self.dropped_scans += 1
                     continue
                 break
             self.pending.pop(0)
@@ -427,8 +437,9 @@ class Sequence:
         r, p = self.state.lidar_pose()
         self.map.insert(points @ r.T + p)
         self.map.recenter(self.state.p)
-        self.buffer.forget(t1 - OVERLAP_NS)
+        starts = [x.stamp + int(x.offsets.min()) for x in self.pending if len(x.offsets)]
+        self.buffer.forget(min([t1, *starts]) - OVERLAP_NS)
         self.scans += 1
         self.converged_scans += done.converged
         self.total_iterations += done.iterations
-        return Result(t1, self.scans, self.state, done.iterations, done.converged, len(self.map.grid))
+        return Result(t1, self.scans, self.state, done.iterations, done.converged, len(self.map.grid), self.cov, self.converged_scans, self.total_iterations, self.dropped_scans)

@@ -24,7 +24,9 @@ POINT = "struct<x:float,y:float,z:float,t_offset_ns:bigint>"
 SENSOR = f"seq string, arrival bigint, kind string, stamp_ns bigint, {', '.join(f'{a} double' for a in AXES)}, points array<{POINT}>"
 RESULT = (
     "seq string, t_ns bigint, scan_index bigint, px double, py double, pz double, qw double, qx double, qy double, qz double, "
-    "vx double, vy double, vz double, iterations int, converged boolean, map_size bigint"
+    "vx double, vy double, vz double, iterations int, converged boolean, map_size bigint, "
+    "gyro_bias array<double>, accel_bias array<double>, gravity array<double>, extrinsic_p array<double>, extrinsic_q array<double>, cov_diagonal array<double>, "
+    "converged_scans bigint, total_iterations bigint, dropped_scans bigint"
 )
 _NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -48,6 +50,7 @@ def _feed(sequence: Sequence, rows: pd.DataFrame) -> list[Result]:
             sequence.add_imu(int(stamp), axes[i])
         else:
             p = [] if points is None else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in points]
+            p = [x for x in p if x[3] is not None]  # a scan without times is dropped
             a = np.array(p, float).reshape(-1, 4)
             offsets = np.array([x[3] for x in p], np.int64)
             sequence.add_scan(Scan(int(stamp), a[:, :3], offsets))
@@ -56,7 +59,11 @@ def _feed(sequence: Sequence, rows: pd.DataFrame) -> list[Result]:
 
 
 def _frame(seq: str, results: list[Result]) -> pd.DataFrame:
-    rows = [(seq, r.t_ns, r.scan_index, *r.state.p, *quat_of(r.state.R), *r.state.v, r.iterations, bool(r.converged), r.map_size) for r in results]
+    rows = []
+    for r in results:
+        s = r.state
+        whole = [x.tolist() for x in (s.bg, s.ba, s.g, s.pE, quat_of(s.RE), np.diag(r.cov))]
+        rows.append((seq, r.t_ns, r.scan_index, *s.p, *quat_of(s.R), *s.v, r.iterations, bool(r.converged), r.map_size, *whole, r.converged_scans, r.total_iterations, r.dropped_scans))
     return pd.DataFrame(rows, columns=_NAMES)
 
 

@@ -28,4 +28,6 @@ def test_equals_sql(spark, sf_dir, db, name):
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    assert (got.isna() == want.isna()).all(axis=None)
+    got, want = (x.astype(object).where(x.notna(), None) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=0)

@@ -19,7 +19,7 @@ def test_pose_interpolation_equals_the_geodesic(spark):
     got = timejoin.pose_interpolate(spark.createDataFrame(times, "seq int, t_ns bigint"), spark.createDataFrame(poses, schema), ["seq"], "t_ns", bucket=2 * c.NANOS)
     path = [(p[1], m.rotation_of(p[5:]), np.array(p[2:5])) for p in poses]
     for r in got.collect():
-        rot, pos = f.pose_at(path, r.t_ns)
+        rot, pos = (x[0] for x in f.poses_at(path, np.array([r.t_ns])))
         assert np.allclose([r.px, r.py, r.pz], pos, atol=1e-9)
         assert np.allclose(m.rotation_of([r.qw, r.qx, r.qy, r.qz]), rot, atol=1e-9)
     assert got.count() == len(times)
@@ -144,3 +144,47 @@ def test_pairing_and_relative_errors(spark):
     assert pairs.count() == 40
     rpe = evaluation.relative_errors(pairs, ["seq"], "t_ns", 1000, 20).first()
     assert rpe.n == 30 and abs(rpe.rpe_rmse - 1.0) < 1e-9
+
+
+def test_association_has_a_small_plan_whatever_the_levels(spark):
+    cloud = spark.range(2000).select(F.col("id").alias("point_id"), (F.rand(1) * 10).alias("x"), (F.rand(2) * 10).alias("y"), F.lit(0.5).alias("z"))
+    queries = cloud.withColumnRenamed("point_id", "q")
+    for radii in ((0.2, 0.4), (0.05, 0.1, 0.2, 0.4, 0.8, 1.6)):
+        out = spatial.knn_expanding(queries, cloud, 5, "q", "point_id", radii)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2 * len(radii)
+    turn = ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (10.0, 0.0, 0.0)
+    for pose in (None, turn):
+        found = planes.associate(queries, cloud, "q", "point_id", pose=pose)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 15
+        rows = found.collect()
+        assert len(rows) > 500 and all(abs(abs(r.nz) - 1) < 1e-6 and abs(r.residual) < 1e-6 for r in rows)
+
+
+def test_interval_slices_keep_repeated_rows(spark):
+    samples = spark.createDataFrame([(1, 0, 0.0), (1, 10, 1.0), (1, 10, 1.0), (1, 20, 2.0)], "k int, t long, v double")
+    intervals = spark.createDataFrame([(1, 5, 15), (1, 5, 15), (1, 7, 7)], "k int, a long, b long")
+    got = timejoin.interval_slice(intervals, samples, ["k"], "a", "b", "t", ["v"], bucket=4).collect()
+    assert sorted((r.a, r.t, r.v) for r in got) == sorted(2 * [(5, 5, 0.5), (5, 10, 1.0), (5, 10, 1.0), (5, 15, 1.5)] + [(7, 7, 0.7)])
+
+
+def test_scans_of_many_times_are_deskewed_at_once():
+    import time
+
+    stamps = np.arange(0, 105, 5) * 1_000_000
+    path = [(int(t), m.so3_exp(np.array([0.0, 0.0, t * 1e-8])), np.array([t * 1e-8, 0.0, 0.0])) for t in stamps]
+    times, points = np.linspace(0, 100_000_000, 65_000).astype(np.int64), RNG.normal(0, 5, (65_000, 3))
+    began = time.perf_counter()
+    got = f.deskew(points, times, path, 100_000_000, m.State())
+    assert time.perf_counter() - began < 2
+    for i in (0, 1000, 64_999):
+        turn, shift = m.so3_exp(np.array([0.0, 0.0, times[i] * 1e-8])), np.array([times[i] * 1e-8, 0.0, 0.0])
+        end, last = path[-1][1], path[-1][2]
+        assert np.allclose(got[i], end.T @ (turn @ points[i] + shift - last), atol=1e-3)
+
+
+def test_scans_without_times_are_dropped(spark):
+    from tessera.params import Params
+    from tessera.streaming.replay import SENSOR, replay
+
+    rows = [("s", 0, "scan", 0, *[None] * 6, [(1.0, 2.0, 3.0, None)])]
+    assert replay(spark.createDataFrame(rows, SENSOR), Params()).collect() == []
