@@ -22,3 +22,12 @@ def test_repeated_rows_long_text_and_empty_table(spark):
     got = _run(spark, [(1, "x" * 300_000, 0, 0)] * 2 + [(2, "x" * 300_001, 0, 0), (None, "q", 0, 0)])
     assert [(r.doc_id, r.group_size, r.kept) for r in got] == [(None, 1, True), (1, 2, True), (1, 2, True), (2, 1, True)]
     assert _run(spark, []) == []
+
+
+def test_colliding_hashes_change_nothing(spark, sf_dir, monkeypatch):
+    from tessera.llm import exact_dedup as module
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 300")
+    want = sorted(map(tuple, exact_dedup(docs).collect()))
+    monkeypatch.setattr(module.F, "md5", lambda column: module.F.lit("00" * 16))
+    assert sorted(map(tuple, exact_dedup(docs).collect())) == want

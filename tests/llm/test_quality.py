@@ -66,3 +66,33 @@ def test_held_out_accuracy(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     held = [r for r in q.op6_quality(spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.95
+
+
+def test_query_equals_plain_numpy(spark, sf_dir):
+    """The query's scores against ridge regression by least squares and isotonic regression by its min-max formula."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    parts = labels.selectExpr("doc_id", "quality", f"pmod(xxhash64(7, doc_id), 1000) < {int(1000 * q.CALIBRATION)} as calibrates").collect()
+    rows = sorted((r.doc_id, r.quality, r.calibrates) for r in parts if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5)
+    x = np.array([q.statistics(docs[d]) for d, _, _ in rows], float)
+    y, late = np.array([v for _, v, _ in rows], float), np.array([c for _, _, c in rows])
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    rng = np.random.default_rng(7)
+    d = x.shape[1]
+    model = q.QualityModel(mean, scale, rng.normal(0, 1 / np.sqrt(d), (d, q.FEATURES)), rng.uniform(0, 2 * np.pi, q.FEATURES), None, None, None)
+    phi = model.features(x)
+    fit, n = phi[~late], int((~late).sum())
+    root = np.sqrt(np.append(np.full(q.FEATURES, q.RIDGE * n + 1e-9), 1e-9))
+    ridge = np.linalg.lstsq(np.vstack([fit, np.diag(root)]), np.append(y[~late], np.zeros(q.FEATURES + 1)), rcond=None)[0]
+    raw, label = phi[late] @ ridge, y[late]
+    order = np.argsort(raw, kind="stable")
+    raw, label = raw[order], label[order]
+    sums = np.append(0, np.cumsum(label))
+    value = [max(min((sums[k] - sums[j]) / (k - j) for k in range(i + 1, len(raw) + 1)) for j in range(i + 1)) for i in range(len(raw))]
+    blocks = [np.flatnonzero(np.abs(np.array(value) - v) < 1e-12) for v in sorted(set(np.round(value, 12)))]
+    knots = np.array([raw[b].mean() for b in blocks])
+    levels = np.maximum.accumulate([(label[b].sum() + label.mean()) / (len(b) + 1) for b in blocks])
+    want = {k: float(np.clip(np.interp(model.features(np.array([q.statistics(t)], float)) @ ridge, knots, levels)[0], 0, 1)) for k, t in docs.items()}
+    got = {r.doc_id: r.score for r in q.op6_quality(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-4
