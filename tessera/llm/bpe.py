@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkEncoder, cut_marks, gather
+from tessera.llm.chunks import SLICE_CHARS, ChunkEncoder, cut_marks, gather, text_of
 from tessera.llm.common import documents, slices, whole_text
 
 #: White space, as the split pattern means it; the split pattern of byte-level BPE.
@@ -72,27 +72,29 @@ class BpeModel:
         self.encoder = ChunkEncoder(self.split, self.encode_chunks)
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def split(self, text: str) -> list[str]:
-        """Pieces whose ids, one after another, are the text's. Cuts before a space or line break between two
-        other characters, where every split of the pattern ends; texts with runs of white space are split by
-        the pattern itself. A special token's string is a piece of its own."""
+    def split(self, text: str) -> str | list[str]:
+        """Pieces whose ids, one after another, are the text's: a list, or one string with a space between each two.
+        Cuts before a space or line break between two other characters, where every split of the pattern ends; texts
+        with runs of white space are split by the pattern itself. A special token's string is a piece of its own."""
         if self.special is not None and "<|" in text and self.special.search(text):
             out, done = [], 0
             for m in self.special.finditer(text):
-                out += [*self.split(text[done : m.start()]), SPECIAL + m[0]]
+                out += [*self._listed(text[done : m.start()]), SPECIAL + m[0]]
                 done = m.end()
-            return out + self.split(text[done:])
+            return out + self._listed(text[done:])
         if _runs_of_space(text):
             return [x[1:] if x[0] == " " and not x[1:2].isspace() and len(x) > 1 else LITERAL + x for x in _FIND(text)]
-        pieces = cut_marks(text.replace("\n", " \n"), LITERAL).split(" ")
-        pieces[0] = LITERAL + pieces[0]
-        return pieces
+        return LITERAL + cut_marks(text.replace("\n", " \n"), LITERAL)
 
-    def encode_chunks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _listed(self, text: str) -> list[str]:
+        pieces = self.split(text)
+        return pieces.split(" ") if isinstance(pieces, str) else pieces
+
+    def encode_chunks(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has: the pieces' distinct words are merged together."""
         numbers: dict[str, int] = {}
         used, counts, special = [], [], set()
-        for p in pieces:
+        for p in map(text_of, pieces):
             if p[:1] == SPECIAL:
                 words = [p]
                 special.add(p)
@@ -174,11 +176,11 @@ def default_path() -> str:
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text. Null texts count as empty and have no ids; null ids and
-    repeated rows stay; other columns are ignored. No shuffle; a worker holds about a megabyte of text at a time."""
+    repeated rows stay; other columns are ignored. No shuffle; a worker holds some megabytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = model(path).encoder
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE_CHARS):
             ids, ends = encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
@@ -204,7 +206,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE_CHARS):
             ids, ends = m.encoder(b.column(1).to_pylist())
             wire = memoryview(ids.astype("<u4").tobytes())
             stops = ends.tolist()

@@ -1,7 +1,8 @@
 """Token ids of many texts by way of a bounded cache of short pieces of text ("chunks").
 
 A tokenizer's own splitting never joins characters across certain white space, so a text is cut there and each
-distinct piece is encoded once per worker. What remains per text is one dictionary lookup a piece and one gather.
+distinct piece is encoded once per worker. Arrow cuts the texts and finds the distinct pieces of all texts at hand;
+what remains is one dictionary lookup for each of those and one gather.
 """
 
 from __future__ import annotations
@@ -11,28 +12,33 @@ from itertools import repeat
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Characters of text that an encoder should get at once: the more, the fewer pieces are distinct.
+SLICE_CHARS = 4_000_000
 #: A cache beyond one of these keeps, before the next texts, only pieces that were met again, or nothing if these are
 #: more than half as many.
-CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 900_000, 15_000_000, 4_500_000
+CACHE_CHUNKS, CACHE_BYTES, CACHE_IDS = 900_000, 15_000_000, 4_500_000
 
 
 class ChunkEncoder:
-    """ids of texts. split: a text's pieces; encode: the ids of several pieces, flat, and how many each has."""
+    """ids of texts. split: a text's pieces as a list, or as one string with a space between each two; encode: the ids
+    of several pieces, given as bytes (text_of), flat, and how many each has."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, split: Callable[[str], str | list[str]], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.split, self.encode = split, encode
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.chars = 0
+        self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.size = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
         self.again = np.zeros(1 << 14, bool)  # pieces that were met again since they came or were kept
 
     def _full(self, share: float) -> bool:
-        return len(self.index) > share * CACHE_CHUNKS or self.chars > share * CACHE_CHARS or self.used > share * CACHE_IDS
+        return len(self.index) > share * CACHE_CHUNKS or self.bytes > share * CACHE_BYTES or self.used > share * CACHE_IDS
 
     def _shrink(self) -> None:
         kept = np.flatnonzero(self.again[: len(self.index)])
@@ -45,10 +51,10 @@ class ChunkEncoder:
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
 
-    def _add(self, chunks: list[str]) -> None:
+    def _add(self, chunks: list[bytes]) -> None:
         self._store(chunks, *self.encode(chunks))
 
-    def _store(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k, m = len(ids), len(self.index), len(chunks)
         self.flat = self._grown(self.flat, self.used + n)
         self.start, self.size, self.again = (self._grown(x, k + m) for x in (self.start, self.size, self.again))
@@ -57,28 +63,52 @@ class ChunkEncoder:
         self.start[k : k + m] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + n] = ids
         self.used += n
-        self.chars += sum(map(len, chunks))
+        self.bytes += sum(map(len, chunks))
         self.index.update(zip(chunks, range(k, k + m), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids start (one more entry: the end)."""
         if self._full(1):
             self._shrink()
-        pieces: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            pieces += self.split(t)
-            ends[i + 1] = len(pieces)
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
+        pieces, ends = self._pieces(texts)
+        pieces = pieces.dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(at < 0)
         self.again[at[at >= 0]] = True
-        if missing:
-            self._add(list(dict.fromkeys(map(pieces.__getitem__, missing))))
-            at[missing] = [self.index[pieces[i]] for i in missing]
+        if len(missing):
+            at[missing] = len(self.index) + np.arange(len(missing))
+            self._add([names[i] for i in missing.tolist()])
+        at = at[pieces.indices.to_numpy()]
         size = self.size[at].astype(np.int64)
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         return gather(self.flat, self.start[at], size), stop[ends]
 
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All texts' pieces in order, and where each text's pieces start (one more entry: the end)."""
+        split = [self.split(t) for t in texts]
+        listed = np.fromiter((not isinstance(x, str) for x in split), bool, len(split))
+        joined = pc.split_pattern(pa.array([_utf8(x) for x in split if isinstance(x, str)], pa.large_binary()), " ")
+        lists = [x for x in split if not isinstance(x, str)]
+        pieces = pa.concat_arrays([joined.flatten(), pa.array([_utf8(p) for x in lists for p in x], pa.large_binary())])
+        counts = np.empty(len(split), np.int64)
+        counts[~listed], counts[listed] = np.diff(joined.offsets.to_numpy()), [len(x) for x in lists]
+        ends = np.append(0, np.cumsum(counts))
+        if lists:  # these stand behind the others
+            order = np.argsort(listed, kind="stable")
+            start = np.empty(len(split), np.int64)
+            start[order] = np.cumsum(counts[order]) - counts[order]
+            pieces = pieces.take(pa.array(gather(np.arange(len(pieces)), start, counts)))
+        return pieces, ends
+
+
+def text_of(piece: bytes) -> str:
+    return piece.decode("utf-8", "surrogatepass")
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at start, one after another."""
@@ -99,6 +129,6 @@ def cut_marks(text: str, prefix: str) -> str:
     for mark in (", ", ". "):
         if mark in text:
             parts = text.split(mark)
-            if all(map(_ends_word, parts[:-1])):
+            if all(map(_ends_word, {p[-1:] for p in parts[:-1]})):
                 text = f" {prefix}{mark}".join(parts)
     return text

@@ -8,15 +8,15 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-from tessera.llm.chunks import ChunkEncoder, cut_marks, gather
+from tessera.llm.chunks import ChunkEncoder, cut_marks, gather, text_of
 
 #: Pieces that one call of the library gets.
 JOINED = 2000
 
 
-def _white_space_pieces(text: str) -> list[str]:
-    """Cuts for a tokenizer that drops white space: no token crosses a space or a line break."""
-    return cut_marks(text.replace("\n", " "), "").split(" ")
+def _white_space_pieces(text: str) -> str:
+    """Pieces for a tokenizer that drops white space, as no token crosses a space or a line break."""
+    return cut_marks(text.replace("\n", " "), "")
 
 
 def _one_word(piece: str) -> bool:
@@ -46,34 +46,45 @@ def encoder(path: str) -> ChunkEncoder:
         from tessera.llm.bpe import LITERAL, SPECIAL, model
 
         split = model(path).split
+        surrogate = b"\xed\xa0"  # how LITERAL and SPECIAL start
         edge[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
 
-        def together(piece: str) -> bool:
-            return piece[:1] not in (LITERAL, SPECIAL, "") and not piece[-1].isspace()
+        def together(pieces: list[bytes]) -> list[bool]:
+            return [p[:2] != surrogate and p[-1:] > b" " for p in pieces]
+
+        def joined_text(pieces: list[bytes]) -> str:
+            return (b" " + b" ".join(pieces)).replace(b" \n", b"\n").decode()
 
         def plain(piece: str) -> str:
             return piece[1:] if piece[:1] in (LITERAL, SPECIAL) else piece if piece[:1] == "\n" else " " + piece
     else:
-        split, together = _white_space_pieces, _one_word
+        split = _white_space_pieces
         edge[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+        def together(pieces: list[bytes]) -> list[bool]:
+            return [_one_word(p.decode()) for p in pieces]
+
+        def joined_text(pieces: list[bytes]) -> str:
+            return (b" ".join(pieces) + b" ").decode()
+
         def plain(piece: str) -> str:
             return piece + " "
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has."""
-        many = np.fromiter(map(together, pieces), bool, len(pieces))
+        many = np.array(together(pieces), bool)
         flat, sizes = [np.empty(0, np.int32)], []
 
-        def alone(group: list[str]) -> None:
-            each = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+        def alone(group: list[bytes]) -> None:
+            texts = [plain(text_of(p)) for p in group]
+            each = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             flat.extend(np.array(x, np.int32) for x in each)
             sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
 
         joined, single = (np.flatnonzero(x).tolist() for x in (many, ~many))
         for start in range(0, len(joined), JOINED):
-            group = [plain(pieces[i]) for i in joined[start : start + JOINED]]
-            (found,) = tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)
+            group = [pieces[i] for i in joined[start : start + JOINED]]
+            (found,) = tokenizer.encode_batch_fast([joined_text(group)], add_special_tokens=False)
             ids = np.array(found.ids, np.int32)
             at = np.flatnonzero(edge[ids])
             size = np.diff(at, append=len(ids)) if keeps_spaces else np.diff(at, prepend=-1)
@@ -82,7 +93,7 @@ def encoder(path: str) -> ChunkEncoder:
                 sizes.append(size)
             else:  # letters of which the library knows more or less
                 alone(group)
-        alone([plain(pieces[i]) for i in single])
+        alone([pieces[i] for i in single])
         size, order = np.concatenate(sizes), np.array(joined + single, np.int64)
         start, in_order = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         start[order], in_order[order] = np.cumsum(size) - size, size

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import SLICE_CHARS
 from tessera.llm.common import documents, slices, whole_text
 from tessera.llm.library_tokenizer import encoder
 
@@ -139,7 +140,7 @@ def pack_documents(
                     del waiting[d]
             return pa.RecordBatch.from_arrays(out, NAMES)
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE_CHARS):
             ids, ends = encode(b.column(1).to_pylist())
             stops = ends.tolist()
             placed = []

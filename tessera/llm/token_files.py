@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import SLICE_CHARS
 from tessera.llm.common import documents, slices, whole_text, written
 from tessera.llm.idcoder import Corrupt, decode_block, encode_block
 from tessera.llm.library_tokenizer import encoder
@@ -78,7 +79,7 @@ def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
             numbers.clear(), lengths.clear(), parts.clear()
             return pa.RecordBatch.from_arrays(row, ["file", "block", "n_ids", "data"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE_CHARS):
             ids, stops = encode(b.column(1).to_pylist())
             size_ = np.diff(stops) + 1
             out = np.full(int(size_.sum()), end_id, np.int32)
