@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,16 +50,32 @@ def first_static(samples: DataFrame, by: Sequence[str], on: str, n: int, most_ac
     return found.filter(still).groupBy(*by).agg(held).select(*by, "w.*")
 
 
-def consecutive(samples: DataFrame, by: Sequence[str], on: str, values: Sequence[str]) -> DataFrame:
-    """samples with `dt` seconds since the one before (null for a key's first) and prev_<value>."""
-    w = W.partitionBy(*by).orderBy(on)
-    before = [F.lag(v).over(w).alias(f"prev_{v}") for v in values]
-    return samples.select("*", ((F.col(on) - F.lag(on).over(w)) / float(c.NANOS)).alias("dt"), *before)
+def _with_earlier(rows: DataFrame, by: Sequence[str], on: str, bucket: int, summary: Column, earlier: Callable[[WindowSpec], Column]) -> DataFrame:
+    """rows with `_bucket` and `_carried`: `earlier` over the summaries (`_sum`, one row per key and bucket) of their
+    key in order of buckets. Null keys are one key, null times the first bucket."""
+    here = rows.withColumn("_bucket", F.floor(F.col(on) / bucket).cast("long"))
+    keys = [*by, "_bucket"]
+    sums = here.groupBy(*keys).agg(summary.alias("_sum"))
+    found = earlier(W.partitionBy(*by).orderBy("_bucket")).alias("_carried")
+    carried = sums.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), found)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    return here.join(carried, same).select(*here.columns, "_carried")
+
+
+def consecutive(samples: DataFrame, by: Sequence[str], on: str, values: Sequence[str], bucket: int = BUCKET) -> DataFrame:
+    """samples with `dt` seconds since the one before (null for a key's first) and prev_<value>. Dealt out by key and
+    time bucket; a bucket's first row takes the last row of the bucket before. Of equal times either comes first."""
+    row = F.struct(F.col(on).alias("_at"), *(F.col(v) for v in values))
+    carried = _with_earlier(samples, by, on, bucket, F.max(row), lambda w: F.lag("_sum").over(w))
+    within = F.lag(row).over(W.partitionBy(*by, "_bucket").orderBy(on))
+    paired = carried.select(*samples.columns, F.coalesce(within, F.col("_carried")).alias("_prev"))
+    before = [F.col("_prev")[v].alias(f"prev_{v}") for v in values]
+    return paired.select(*samples.columns, ((F.col(on) - F.col("_prev")["_at"]) / float(c.NANOS)).alias("dt"), *before)
 
 
 def trapezoid(samples: DataFrame, by: Sequence[str], on: str, value: str, bias: float = 0.0, bucket: int = BUCKET) -> DataFrame:
     """samples with `step`, the integral of value - bias over the interval before each, and its running sum `integral`."""
-    pairs = consecutive(samples, by, on, [value])
+    pairs = consecutive(samples, by, on, [value], bucket)
     mid = (F.col(value) + F.col(f"prev_{value}")) / 2.0 - bias
     steps = pairs.withColumn("step", F.coalesce(mid * F.col("dt"), F.lit(0.0)))
     return running_sums(steps, by, on, ["step"], bucket).withColumnRenamed("sum_step", "integral")
@@ -87,10 +104,13 @@ def fold_1d(samples: DataFrame, by: Sequence[str], on: str, value: str) -> DataF
     return ordered.select(*by, F.aggregate("s", start, step).alias("e")).select(*by, F.col("e.v").alias("velocity"), F.col("e.p").alias("position"))
 
 
-def advancing(scans: DataFrame, by: Sequence[str], arrival: str, end: str) -> DataFrame:
-    """The scans that end later than every scan of their key that arrived before."""
-    w = W.partitionBy(*by).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)
-    return scans.withColumn("_before", F.max(end).over(w)).filter(F.col("_before").isNull() | (F.col(end) > F.col("_before"))).drop("_before")
+def advancing(scans: DataFrame, by: Sequence[str], arrival: str, end: str, bucket: int = BUCKET) -> DataFrame:
+    """The scans that end later than every scan of their key that arrived before. Dealt out by key and bucket of
+    arrival, with the greatest end of all earlier buckets carried over."""
+    carried = _with_earlier(scans, by, arrival, bucket, F.max(end), lambda w: F.max("_sum").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    w = W.partitionBy(*by, "_bucket").orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)
+    found = carried.withColumn("_before", F.greatest(F.max(end).over(w), F.col("_carried")))
+    return found.filter(F.col("_before").isNull() | (F.col(end) > F.col("_before"))).select(*scans.columns)
 
 
 def after_start(scans: DataFrame, starts: DataFrame, by: Sequence[str], stamp: str = "stamp_ns", start: str = "init_ns") -> DataFrame:

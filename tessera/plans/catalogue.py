@@ -410,7 +410,7 @@ def coverage_all(spark, d):
   FROM (SELECT seq, event_id, stamp_ns + CAST(round(a) AS BIGINT) * {HOUR} AS t_end FROM ({IMU_SQL}))) WHERE prior IS NULL OR t_end > prior""")
 def non_advancing_drop(spark, d):
     rows = imu(spark, d).select("seq", "event_id", (F.col("stamp_ns") + F.round("a").cast("long") * HOUR).alias("t_end"))
-    return inertial.advancing(rows, ["seq"], "event_id", "t_end")
+    return inertial.advancing(rows, ["seq"], "event_id", "t_end", bucket=1 << 16)
 
 
 @query(f"""WITH i AS (SELECT seq, min(stamp_ns) + {2 * DAY} AS init_ns FROM ({IMU_SQL}) GROUP BY seq) SELECT seq, event_id, stamp_ns - 100000000 AS stamp_ns FROM ({IMU_SQL}) JOIN i USING (seq)

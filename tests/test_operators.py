@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
@@ -188,3 +189,20 @@ def test_scans_without_times_are_dropped(spark):
 
     rows = [("s", 0, "scan", 0, *[None] * 6, [(1.0, 2.0, 3.0, None)])]
     assert replay(spark.createDataFrame(rows, SENSOR), Params()).collect() == []
+
+
+def test_neighbours_and_advancing_scans_across_buckets_equal_plain_windows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k if k < 3 else None, int(t), float(v), int(e), 7) for k in range(4) for t, v, e in zip(rng.choice(1000, 60, replace=False), rng.random(60), rng.integers(0, 900, 60), strict=True)]
+    rows += [(0, None, 0.5, 10, 7), (9, 5, None, None, 7)]
+    df = spark.createDataFrame(rows, "k long, t long, v double, e long, extra long")
+    w = W.partitionBy("k").orderBy("t")
+    for bucket in (1, 30, 10_000):
+        got = inertial.consecutive(df, ["k"], "t", ["v"], bucket)
+        want = df.select("*", ((F.col("t") - F.lag("t").over(w)) / 1e9).alias("dt"), F.lag("v").over(w).alias("prev_v"))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        got = inertial.advancing(df, ["k"], "t", "e", bucket)
+        before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
+        want = df.withColumn("b", before).filter("b is null or e > b").drop("b")
+        assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert inertial.consecutive(df.limit(0), ["k"], "t", ["v"]).collect() == inertial.advancing(df.limit(0), ["k"], "t", "e").collect() == []
