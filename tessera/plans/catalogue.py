@@ -149,7 +149,7 @@ _PLANES_SQL = """mom AS (SELECT vec_id, count(*) AS n, max(d2) AS max_d2, sum(px
 @query(f"WITH {_PAIRS_SQL}, {_PLANES_SQL} SELECT vec_id, n, round(nx, 4) + 0.0 AS nx, round(ny, 4) + 0.0 AS ny, round(nz, 4) + 0.0 AS nz, round(d, 4) + 0.0 AS d FROM pl")
 def plane_fit(spark, d):
     known, scan = _map_and_scan(spark, d)
-    near = spatial.knn_within(scan.select("vec_id", *spatial.XYZ), known, 5, 5.0**0.5, "vec_id", "point_id")
+    near = spatial.knn_blocks(scan, known, 5, 5.0, "vec_id", "point_id")
     return _rounded(planes.fit_planes(near, "vec_id").drop("max_d2"), "nx", "ny", "nz", "d", digits=4)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as c
 from tessera.functions import manifold as m
 from tessera.operators import estimation, evaluation, inertial, planes, spatial, timejoin
+from tessera.plans import catalogue
 from tessera.streaming import filter as f
 
 RNG = np.random.default_rng(1)
@@ -206,3 +207,29 @@ def test_neighbours_and_advancing_scans_across_buckets_equal_plain_windows(spark
         want = df.withColumn("b", before).filter("b is null or e > b").drop("b")
         assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert inertial.consecutive(df.limit(0), ["k"], "t", ["v"]).collect() == inertial.advancing(df.limit(0), ["k"], "t", "e").collect() == []
+
+
+def test_block_search_equals_brute_force(spark):
+    """Clusters of three densities, one place held by many points and queries, queries far off, repeated and odd rows."""
+    rng = np.random.default_rng(5)
+    spots = [rng.normal(0, 1, (1500, 3)), rng.normal(3, 0.01, (800, 3)), rng.normal(-4, 1e-4, (400, 3)), np.tile([[0.5, 0.5, 0.5]], (300, 1)), np.array([[0.0, 0, 9], [2, 0, 9], [-0.0, 0, 9], [0, 0, 9]])]
+    xyz = np.concatenate(spots)
+    ids = rng.permutation(len(xyz))
+    points = [(int(i), *map(float, p)) for i, p in zip(ids, xyz, strict=True)]
+    queries = [(int(n), *map(float, xyz[j])) for n, j in enumerate(rng.permutation(len(xyz))[:900])] + [(5000 + i, 0.5, 0.5, 0.5) for i in range(40)] + [(6000, 0.0, 0.0, 11.0), (6001, 50.0, 0.0, 0.0), (6002, 4.0, 0.0, 9.0), (7, 3.0, 3.0, 3.0)]
+    odd = [(9000, float("nan"), 0.0, 0.0), (9001, None, 0.0, 0.0), (9002, float("inf"), 0.0, 0.0)]
+    frames = [spark.createDataFrame(rows + odd, f"{n} long, x double, y double, z double") for n, rows in (("q", queries), ("p", points))]
+    got: dict[int, list] = {}
+    for r in spatial.knn_blocks(*frames, 5, 4.0, "q", "p").orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.d2, r.p, r.p_x, r.p_y, r.p_z))
+    want: dict[int, list] = {}
+    for q, *at in queries:
+        off = np.array(at) - xyz
+        d2 = off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2]
+        want[q] = want.get(q, []) + [(float(d2[j]), int(ids[j]), *map(float, xyz[j])) for j in np.flatnonzero(d2 <= 4.0)]
+    assert got == {q: sorted(rows)[:5] for q, rows in want.items() if rows}
+
+
+def test_plane_fit_makes_no_rows_of_pairs(spark, sf_dir):
+    plan = catalogue.QUERIES["plane_fit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
