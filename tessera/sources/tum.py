@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import columns as c
 from tessera.operators.evaluation import lever_arm
@@ -15,9 +17,20 @@ POSE = ("px", "py", "pz", "qx", "qy", "qz", "qw")
 
 
 def lines(poses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """`line` of each pose (t_ns, px, py, pz, qw, qx, qy, qz)."""
-    text = F.format_string(" ".join(["%.9f"] * 8), c.seconds_of(F.col("t_ns")), *(F.col(n) for n in POSE))
-    return poses.select(*keep, text.alias("line"))
+    """`line` of each pose (t_ns, px, py, pz, qw, qx, qy, qz); null if one of them is. Numbers are rounded from their exact
+    value, halves to even, as C's printf does; Java's formatter rounds the shortest decimal that names them, halves up."""
+    values = {f"_{i}": v.cast("double") for i, v in enumerate((c.seconds_of(F.col("t_ns")), *(F.col(n) for n in POSE)))}
+    rows = poses.select(*keep, *(v.alias(n) for n, v in values.items()))
+    schema = StructType([*rows.schema.fields[: len(keep)], StructField("line", StringType())])
+    line = " ".join(["%.9f"] * len(values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = zip(*(x.to_pylist() for x in b.columns[len(keep) :]), strict=True)
+            text = pa.array([None if None in row else line % row for row in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], text], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def write(poses: DataFrame, path: str, by_time: bool = True) -> None:

@@ -2,6 +2,7 @@
 
 import struct
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -185,3 +186,13 @@ def test_command_line_replays_a_recording(spark, tmp_path):
     assert all(abs(r.tx - 1.0) < 0.05 for r in tum.read(spark, str(tmp_path / "moved")).collect())
     with pytest.raises(SystemExit):
         cli.main(["--format", "NTU_VIRAL", "--sequence", str(tmp_path / "none"), "--params", "p"])
+
+
+def test_lines_round_as_printf_does(spark):
+    """Halves go to the even neighbour, and only exact ones are halves; no line for a pose that lacks a value."""
+    values = [0.4345703125, 0.0009765625, 0.1234567895, 123456789.1234567895, -0.0, float("nan"), float("-inf"), None]
+    poses = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "t_ns long, px double")
+    rows = tum.lines(poses.selectExpr("t_ns", "px", "px AS py", "px AS pz", "1.0D AS qw", "px AS qx", "px AS qy", "px AS qz"), keep=("t_ns",)).collect()
+    with duckdb.connect() as db:
+        want = {k: v is not None and db.execute("SELECT printf('%.9f', CAST(? AS DOUBLE))", [v]).fetchone()[0] for k, v in enumerate(values)}
+    assert {r.t_ns: r.line and r.line.split(" ")[1] for r in rows} == {k: v or None for k, v in want.items()}
