@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucketed, documents, slices, whole_text, written
+from tessera.llm.common import bucketed, documents, lean, slices, whole_text, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingles
 
@@ -90,7 +90,7 @@ def document_frequencies(texts: DataFrame) -> Idf:
         bucket, count = np.append(met, -1), np.append(total[met], n)
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(count)], ["bucket", "n"])
 
-    sums = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     counts = np.zeros(FREQUENCY_ROWS << FREQUENCY_BITS, np.int64)
     counts[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -160,7 +160,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCH, pa.int32()), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["h", "doc_id", "sketch"])
 
-    return rows.select("h", "doc_id", "text").mapInArrow(run, "h binary, doc_id long, sketch array<long>")
+    return rows.select("h", "doc_id", "text").mapInArrow(lean(run), "h binary, doc_id long, sketch array<long>")
 
 
 def _representatives(sketched: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _signed(texts: DataFrame, idf: Idf) -> DataFrame:
             sig = pa.array([x.tobytes() for x in signatures(b.column(3).to_pylist(), idf)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], sig], ["h", "first_id", "n", "sig"])
 
-    return texts.select("h", "first_id", "n", "text").mapInArrow(run, "h binary, first_id long, n long, sig binary")
+    return texts.select("h", "first_id", "n", "text").mapInArrow(lean(run), "h binary, first_id long, n long, sig binary")
 
 
 def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, SAMPLES) for c in (b.column(2), b.column(3)))
             yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= AGREE))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(lean(run), "a binary, b binary")
 
 
 def _vectors(texts: DataFrame, needed: DataFrame, idf: Idf) -> DataFrame:
@@ -206,7 +206,7 @@ def _vectors(texts: DataFrame, needed: DataFrame, idf: Idf) -> DataFrame:
             arrays = [b.column(0), pa.array([value[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([level[x:y].tobytes() for x, y in spans], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["h", "value", "level"])
 
-    return found.mapInArrow(run, "h binary, value binary, level binary")
+    return found.mapInArrow(lean(run), "h binary, value binary, level binary")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
             sims = [similarity(vector(av, al), vector(bv, bl)) for av, al, bv, bl in zip(*(b.column(i) for i in range(2, 6)), strict=True)]
             yield b.select([0, 1]).filter(pa.array(np.array(sims) >= threshold - 1e-9, pa.bool_()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(lean(run), "a binary, b binary")
 
 
 def _open_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -301,7 +301,7 @@ def _open_links(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield _pairs(compare(pa.Table.from_batches(held)))
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:

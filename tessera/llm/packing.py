@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import SLICE_CHARS
-from tessera.llm.common import documents, slices, whole_text
+from tessera.llm.common import documents, lean, slices, whole_text
 from tessera.llm.library_tokenizer import encoder
 
 CAPACITY, END_ID = 2048, 1
@@ -157,7 +157,7 @@ def pack_documents(
             yield rows(last)
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    packed = given.mapInArrow(run, SCHEMA)
+    packed = given.mapInArrow(lean(run), SCHEMA)
     return packed if with_ids else packed.drop("ids")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, slices, whole_text
+from tessera.llm.common import documents, lean, slices, whole_text
 
 
 class Span(NamedTuple):
@@ -181,7 +181,7 @@ def detect_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind), pa.array(cleaned, pa.string())], ["doc_id", "spans", "redacted"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -200,7 +200,7 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_char
                 columns[n_chars] = pa.array(counts, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -224,7 +224,7 @@ def span_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return rows.mapInArrow(run, DIGEST)
+    return rows.mapInArrow(lean(run), DIGEST)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

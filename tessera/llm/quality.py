@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, slices, whole_text, written
+from tessera.llm.common import documents, lean, slices, whole_text, written
 from tessera.llm.html_extract import STOP_WORDS
 
 #: Labelled rows that a fit uses at most: those of the smallest hashed ids.
@@ -151,7 +151,7 @@ def fit_quality(
         "doc_id", "label", (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1000)) < int(1000 * CALIBRATION)).alias("calibrates"), "text"
     )
     kind = "doc_id long, label int, calibrates boolean, x array<double>"
-    table = written(rows.mapInArrow(_statistics_rows, kind), "quality-statistics")
+    table = written(rows.mapInArrow(lean(_statistics_rows), kind), "quality-statistics")
     sums = (
         table.select("label", F.posexplode("x").alias("i", "v"))
         .groupBy("i")
@@ -182,7 +182,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([pa.array([np.append(a.reshape(-1), b).tobytes()], pa.binary())], ["sums"])
 
     # at most 8 partitions of half a megabyte each come to the driver
-    parts = table.filter("not calibrates").select("label", "x").coalesce(8).mapInArrow(normal_equations, "sums binary").collect()
+    parts = table.filter("not calibrates").select("label", "x").coalesce(8).mapInArrow(lean(normal_equations), "sums binary").collect()
     if not parts:
         model.base = float(share)
         return model
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id"
 
     given = F.col(doc_id).cast("long").alias("doc_id")
     rows = docs.select(given, held_out(F.col(doc_id)).alias("held_out"), whole_text(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataF
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             yield b.filter(pa.array(model.score([t or "" for t in texts]) >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import SLICE_CHARS
-from tessera.llm.common import documents, slices, whole_text, written
+from tessera.llm.common import documents, lean, slices, whole_text, written
 from tessera.llm.idcoder import Corrupt, decode_block, encode_block
 from tessera.llm.library_tokenizer import encoder
 
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
     rows = rows.select("doc_id", "text")
-    return written(rows.mapInArrow(run, FILES), "token-files")
+    return written(rows.mapInArrow(lean(run), FILES), "token-files")
 
 
 def _vocabulary(path: str) -> int:
@@ -147,7 +147,7 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = files.join(before, "file").select("base", "data")
-    return rows.mapInArrow(run, READ + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), READ + ", ids array<int>" * with_ids)
 
 
 def default_path() -> str:
