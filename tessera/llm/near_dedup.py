@@ -26,8 +26,10 @@ AGREE = 30 / SAMPLES
 FREQUENCY_ROWS, FREQUENCY_BITS = 2, 17
 #: Weights are powers of 2**(1 / LEVELS); the least inverse document frequency is 2**LEAST.
 LEVELS, LEAST = 16, -8
-#: Of the texts that share one of so many plain min-hashes, only one counts for document frequencies.
+#: Rows that share one of so many plain min-hashes count for document frequencies as one together.
 SKETCH = 4
+#: The weight of a row that shares none: weights are whole numbers, so that sums of them don't depend on their order.
+ONE = 1 << 20
 #: Variates are tabulated for so many hash values of a shingle.
 _SLOT_BITS = 15
 #: Members of a bucket are compared in blocks of so many.
@@ -51,9 +53,11 @@ def _buckets(value: np.ndarray) -> np.ndarray:
     return np.stack(rows).astype(np.int64)
 
 
-def frequency_buckets(texts: list[str]) -> np.ndarray:
-    """How many (text, distinct shingle) fall into each bucket."""
-    return np.bincount(_buckets(shingles(texts)[0]).reshape(-1), minlength=FREQUENCY_ROWS << FREQUENCY_BITS)
+def frequency_buckets(texts: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+    """How many (text, distinct shingle) fall into each bucket, or the sum of these texts' whole weights."""
+    value, _, start = shingles(texts)
+    each = None if weights is None else np.tile(np.repeat(weights, np.diff(start)), FREQUENCY_ROWS)
+    return np.bincount(_buckets(value).reshape(-1), each, FREQUENCY_ROWS << FREQUENCY_BITS).astype(np.int64)  # exact: below 2**53
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -68,7 +72,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 class Idf:
     """Levels of log(n / df) / log(n): 0 for what is in one of n texts, LEAST * LEVELS at least."""
 
-    def __init__(self, counts: np.ndarray, texts: int):
+    def __init__(self, counts: np.ndarray, texts: float):
         n = max(2, texts)
         rarity = 1 - np.log(np.minimum(frequencies(counts), n)) / np.log(n)
         self.levels = np.round(np.log2(np.maximum(rarity, 2.0**LEAST)) * LEVELS).astype(np.int16)
@@ -78,23 +82,24 @@ class Idf:
 
 
 def document_frequencies(texts: DataFrame) -> Idf:
-    """Idf over texts (text). A task sends the buckets it met, combined per bucket; the driver gets one row per
-    bucket, FREQUENCY_ROWS * 2**FREQUENCY_BITS at most."""
+    """Idf over all texts (text, weight in ONE-ths). A task sends the buckets it met, combined per bucket; the driver gets
+    one row per bucket, FREQUENCY_ROWS * 2**FREQUENCY_BITS at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FREQUENCY_ROWS << FREQUENCY_BITS, np.int64), 0
         for b in slices(batches):
-            total += frequency_buckets(b.column(0).to_pylist())
-            n += b.num_rows
+            weights = b.column(1).to_numpy()
+            total += frequency_buckets(b.column(0).to_pylist(), weights)
+            n += int(weights.sum())
         met = np.flatnonzero(total)
         bucket, count = np.append(met, -1), np.append(total[met], n)
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(count)], ["bucket", "n"])
 
-    sums = texts.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("text", "weight").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     counts = np.zeros(FREQUENCY_ROWS << FREQUENCY_BITS, np.int64)
     counts[bucket[bucket >= 0]] = n[bucket >= 0]
-    return Idf(counts, int(n[bucket < 0].sum()))
+    return Idf(counts / ONE, n[bucket < 0].sum() / ONE)
 
 
 def weighted(texts: list[str], idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,12 +168,12 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.select("h", "doc_id", "text").mapInArrow(lean(run), "h binary, doc_id long, sketch array<long>")
 
 
-def _representatives(sketched: DataFrame) -> DataFrame:
-    """h of the texts that count for document frequencies: the smallest of those that share a min-hash, for each of a
-    text's min-hashes. Of a group of near copies hardly more than one is left."""
-    each = sketched.select("h", F.posexplode("sketch").alias("k", "value"))
-    leaders = each.groupBy("k", "value").agg(F.min("h").alias("h"))
-    return leaders.groupBy("h").agg(F.count("*").alias("led")).filter(F.col("led") == SKETCH).select("h")
+def _shares(sketched: DataFrame) -> DataFrame:
+    """h and `share`, the rows of the largest group that one of the text's min-hashes has, for texts that share any (the
+    salts keep the min-hashes of different numbers apart)."""
+    each = sketched.select("h", F.explode("sketch").alias("value"))
+    groups = each.groupBy("value").agg(F.count("*").alias("share")).filter("share > 1")
+    return each.join(groups, "value").groupBy("h").agg(F.max("share").alias("share"))
 
 
 def _signed(texts: DataFrame, idf: Idf) -> DataFrame:
@@ -331,8 +336,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A class is a connected component of texts whose weighted Jaccard similarity is at least `threshold`; equal
     texts are one node. Of each class one row stays: `kept` marks class_id's (of repeated rows, each).
 
-    1. One row of each text, copies left behind. Document frequencies of their shingles (a fixed number of buckets),
-       in which near copies count once: a group of them must not devalue its own text. Then a signature per text.
+    1. One row of each text, copies left behind. Document frequencies of all texts' shingles (a fixed number of buckets),
+       in which the rows of a group of near copies weigh as one together: a group of them must not devalue its own text. Then a signature per text.
     2. Buckets of equal bands. A bucket's members are first compared with its smallest member only.
     3. Buckets that still hold several classes are compared in blocks: signatures all with all, vectors of pairs
        that agree enough and are not yet linked. Pairs are never written or shuffled, and pairs within one class
@@ -343,10 +348,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).withColumn("h", F.unhex(F.md5("text")))
     sketched = written(_sketched(rows), "near-sketches")
-    counting = written(_representatives(sketched), "near-representatives").withColumn("counts", F.lit(True))
+    shares = written(_shares(sketched), "near-shares")
     whole = rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("text").alias("text"))
-    with bucketed(whole.join(counting, "h", "left"), "near-wholes", "h") as whole:
-        idf = document_frequencies(whole.filter("counts"))
+    weight = F.greatest(F.lit(1), F.round(F.col("n") * ONE / F.coalesce("share", F.lit(1)))).cast("long")
+    with bucketed(whole.join(shares, "h", "left").withColumn("weight", weight).drop("share"), "near-wholes", "h") as whole:
+        idf = document_frequencies(whole)
         texts = written(_signed(whole, idf), "near-texts")
 
         keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 4 * ROWS + 1, F.lit(4 * ROWS))))

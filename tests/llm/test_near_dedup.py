@@ -191,3 +191,23 @@ def test_near_copies_that_exact_weights_find_are_found(spark, sf_dir):
     wanted = [g for g in brute_classes([(d, t) for t, d in distinct.items()], Exact()) if len(g) > 1]
     together = sum(len({at[d] for d in g}) == 1 for g in wanted)
     assert wanted and together >= 0.9 * len(wanted)
+
+
+def test_every_text_counts_for_frequencies(spark, monkeypatch):
+    """All distinct texts are counted: alone with a whole weight, near copies with about one together."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 250)]
+    near = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(200)]
+    alone = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 250)) for _ in range(100)]
+    seen = {}
+
+    def spy(texts, count=n.document_frequencies):
+        seen.update((r.text, r.weight) for r in texts.select("text", "weight").collect())
+        return count(texts)
+
+    monkeypatch.setattr(n, "document_frequencies", spy)
+    rows = list(enumerate([*near, *alone, *[alone[0]] * 50, ""]))
+    n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(seen) == {t for _, t in rows}
+    assert all(seen[t] == n.ONE for t in [*alone, ""])
+    assert n.ONE <= sum(seen[t] for t in near) <= 3 * n.ONE
