@@ -29,7 +29,7 @@ LITERAL, SPECIAL = "\ud800", "\ud801"
 _SHIFT = 20
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -47,7 +47,7 @@ class BpeModel:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, to_byte = spec["model"]["vocab"], _byte_chars()
+        vocab, to_byte = spec["model"]["vocab"], byte_chars()
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max(chain(vocab.values(), added.values())) + 1
         self.token_bytes: list[bytes] = [b""] * size

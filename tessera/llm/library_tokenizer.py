@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -12,6 +14,9 @@ from tessera.llm.chunks import ChunkEncoder, cut_marks, gather, text_of
 
 #: Pieces that one call of the library gets.
 JOINED = 2000
+#: A line break or none, letters that every version of Unicode has as such (to U+00FF), and marks: where byte-level split
+#: patterns cut a piece is certain.
+_WORD = re.compile(rb"(\n?)((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@[-`{-~]*)").fullmatch
 
 
 def _white_space_pieces(text: str) -> str:
@@ -24,14 +29,55 @@ def _one_word(piece: str) -> bool:
     return piece.isalpha() and (piece.isascii() or is_normalized("NFC", piece) and piece.lower().isalpha())
 
 
+def _byte_level_words(tokenizer) -> Callable[[list[bytes]], tuple[list[int], list[int]]] | None:
+    """For a plain byte-level tokenizer: the ids of pieces that _WORD knows, one after another, and how many each has (0
+    for a piece it does not know). The library's model gets the words in its byte alphabet, without the library's search
+    for cuts."""
+    cuts = tokenizer.pre_tokenizer
+    added = tokenizer.get_added_tokens_decoder().values()
+    if type(cuts).__name__ != "ByteLevel" or cuts.add_prefix_space or not cuts.use_regex or tokenizer.post_processor is not None or not all("<|" in t.content for t in added):
+        return None
+    from tessera.llm.bpe import byte_chars
+
+    alphabet = {b: c for c, b in byte_chars().items()}
+    model = tokenizer.model
+    tokenize = model.tokenize
+    model._resize_cache(0)  # words come once
+
+    @lru_cache(maxsize=10_000)
+    def run(raw: bytes) -> list[int]:
+        return [t.id for t in tokenize(raw.decode("latin-1").translate(alphabet))]
+
+    space, line = alphabet[32], run(b"\n")
+
+    def words(pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        flat: list[int] = []
+        sizes: list[int] = []
+        for p in pieces:
+            held = len(flat)
+            if p.isalpha():
+                flat += [t.id for t in tokenize(space + p.decode())]
+            elif (m := _WORD(p)) is not None:
+                broken, letters, marks = m.groups()
+                flat += line if broken else []
+                text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(alphabet)
+                flat += [t.id for t in tokenize(text if broken else space + text)]
+                flat += run(marks) if marks else []
+            sizes.append(len(flat) - held)
+        return flat, sizes
+
+    return words
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """Encodes as Tokenizer.from_file(path) does with add_special_tokens=False. Byte-level files without a
     normaliser are cut as in bpe.BpeModel.split; files that split on white space and drop it, at white space.
 
-    Pieces whose first or last id shows itself are encoded many at a time, as one text: in byte-level files those
-    with a space or line break before them and none within, in the others single words, whose last token has an
-    end-of-word suffix. All other pieces are encoded one by one.
+    In byte-level files words, also with marks behind them, are encoded by the library's model alone. Pieces whose first
+    or last id shows itself are encoded many at a time, as one text: in byte-level files those with a space or line break
+    before them and none within, in the others single words, whose last token has an end-of-word suffix. All other pieces
+    are encoded one by one.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -42,6 +88,7 @@ def encoder(path: str) -> ChunkEncoder:
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin or end a piece
     keeps_spaces = tokenizer.normalizer is None
+    words = _byte_level_words(tokenizer) if keeps_spaces else None
     if keeps_spaces:
         from tessera.llm.bpe import LITERAL, SPECIAL, model
 
@@ -72,8 +119,14 @@ def encoder(path: str) -> ChunkEncoder:
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has."""
-        many = np.array(together(pieces), bool)
+        many, done = np.array(together(pieces), bool), np.zeros(len(pieces), bool)
         flat, sizes = [np.empty(0, np.int32)], []
+        if words is not None:
+            ids, each = words(pieces)
+            each = np.array(each, np.int64)
+            done = each > 0
+            flat.append(np.array(ids, np.int32))
+            sizes.append(each[done])
 
         def alone(group: list[bytes]) -> None:
             texts = [plain(text_of(p)) for p in group]
@@ -81,7 +134,7 @@ def encoder(path: str) -> ChunkEncoder:
             flat.extend(np.array(x, np.int32) for x in each)
             sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
 
-        joined, single = (np.flatnonzero(x).tolist() for x in (many, ~many))
+        ready, joined, single = (np.flatnonzero(x).tolist() for x in (done, many & ~done, ~many & ~done))
         for start in range(0, len(joined), JOINED):
             group = [pieces[i] for i in joined[start : start + JOINED]]
             (found,) = tokenizer.encode_batch_fast([joined_text(group)], add_special_tokens=False)
@@ -94,7 +147,7 @@ def encoder(path: str) -> ChunkEncoder:
             else:  # letters of which the library knows more or less
                 alone(group)
         alone([pieces[i] for i in single])
-        size, order = np.concatenate(sizes), np.array(joined + single, np.int64)
+        size, order = np.concatenate(sizes), np.array(ready + joined + single, np.int64)
         start, in_order = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         start[order], in_order[order] = np.cumsum(size) - size, size
         return gather(np.concatenate(flat), start, in_order), in_order

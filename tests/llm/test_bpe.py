@@ -72,3 +72,13 @@ def test_query_equals_the_library(spark, sf_dir, pair):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_words_through_the_model_equal_the_library(pair):
+    theirs = pair[1]
+    words = library_tokenizer._byte_level_words(Tokenizer.from_file(bpe.default_path()))
+    known = ["the", "Ünïcödé", "ÀÖØöøÿ", "\nWas", "\nété!!", "word$$$", "don'", "a.%%%", "x_", "w<|", 'é,"', "ab''"]
+    others = ["×", "a×b", "÷", "don't", "it's", "a1", "42", "$$$", "\n", "", "\n\na", "a\n", "ł", "日本", "a b", "a\tb", "aé日", "…", "a…", "\ud800a"]
+    ids, sizes = words([p.encode("utf-8", "surrogatepass") for p in known + others])
+    assert all(sizes[: len(known)]) and not any(sizes[len(known) :])
+    assert ids == [i for p in known for i in theirs.encode(p if p[0] == "\n" else " " + p, add_special_tokens=False).ids]

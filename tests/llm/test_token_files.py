@@ -17,6 +17,14 @@ def test_blocks_round_trip():
                 assert np.array_equal(idcoder.decode_block(idcoder.encode_block(ids, top)), ids)
 
 
+def test_half_of_a_block_is_learned_at_most():
+    for steps in range(1, 1500):
+        rounds = idcoder._rounds(steps)
+        assert [stop for _, stop in rounds[:-1]] == [first for first, _ in rounds[1:]] and rounds[0][0] == 0 and rounds[-1][1] == steps
+        assert 2 * rounds[-1][0] <= steps  # the last round is not learned
+        assert all(stop <= 2 * first + 1 for first, stop in rounds)
+
+
 def test_contexts_help():
     rng = np.random.default_rng(2)
     follow = rng.integers(0, 5000, 5000)
