@@ -14,18 +14,27 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import SLICE_CHARS, ChunkEncoder, cut_marks, gather, text_of
+from tessera.llm.chunks import SLICE_CHARS, ChunkEncoder, gather, text_of, utf8
 from tessera.llm.common import documents, slices, whole_text
 
 #: White space, as the split pattern means it; the split pattern of byte-level BPE.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _FIND = regex.compile(PATTERN).findall
-_PLAIN_RUNS = ("  ", " \n", "\n ", "\n\n")
-_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{SPACE}]", c) and c not in " \n"]
-#: First characters of pieces that are literal or a special token's string; other pieces stand for themselves after
-#: one space, or start with their line break. Lone surrogates are in no text that comes from UTF-8.
-LITERAL, SPECIAL = "\ud800", "\ud801"
+#: What a byte of UTF-8 may be: an ASCII letter or digit, another visible ASCII character, the first of a wider character
+#: of white space, a space or line break, other white space.
+_ALNUM, _MARK, _LEAD, _SPACE, _OTHER_SPACE = range(1, 6)
+_WIDE_SPACE = np.array([int.from_bytes(c.encode().ljust(3, b"\0")) for c in map(chr, range(0x80, 0x3001)) if regex.fullmatch(f"[{SPACE}]", c)])
+_KIND = bytearray(256)
+for _i in range(33, 127):
+    _KIND[_i] = _ALNUM if chr(_i).isalnum() else _MARK
+for _i in range(9, 14):
+    _KIND[_i] = _OTHER_SPACE
+_KIND[10] = _KIND[32] = _SPACE
+for _i in set((_WIDE_SPACE >> 16).tolist()):
+    _KIND[_i] = _LEAD
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first is 0xC3.
+_LATIN = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 _SHIFT = 20
 
 
@@ -36,11 +45,6 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _runs_of_space(text: str) -> bool:
-    """Whether two characters of white space may stand side by side: surely if all are spaces and line breaks."""
-    return any(x in text for x in _PLAIN_RUNS) or any(c in text for c in (_OTHER_SPACE[:4] if text.isascii() else _OTHER_SPACE))
-
-
 class BpeModel:
     """The tables of a byte-level BPE file: pair keys in ascending order with their ranks and results."""
 
@@ -69,39 +73,58 @@ class BpeModel:
             b = np.frombuffer(t, np.uint8)
             joins[b[:-1], b[1:]] = True
         self.joins = joins
-        self.encoder = ChunkEncoder(self.split, self.encode_chunks)
+        self.encoder = ChunkEncoder(self.cut, self.encode_chunks)
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-
-    def split(self, text: str) -> str | list[str]:
-        """Pieces whose ids, one after another, are the text's: a list, or one string with a space between each two.
-        Cuts before a space or line break between two other characters, where every split of the pattern ends; texts
-        with runs of white space are split by the pattern itself. A special token's string is a piece of its own."""
-        if self.special is not None and "<|" in text and self.special.search(text):
-            out, done = [], 0
-            for m in self.special.finditer(text):
-                out += [*self._listed(text[done : m.start()]), SPECIAL + m[0]]
-                done = m.end()
-            return out + self._listed(text[done:])
-        if _runs_of_space(text):
-            return [x[1:] if x[0] == " " and not x[1:2].isspace() and len(x) > 1 else LITERAL + x for x in _FIND(text)]
-        return LITERAL + cut_marks(text.replace("\n", " \n"), LITERAL)
-
-    def _listed(self, text: str) -> list[str]:
-        pieces = self.split(text)
-        return pieces.split(" ") if isinstance(pieces, str) else pieces
+        self.special_bytes = regex.compile(self.special.pattern.encode()) if added else None
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces whose ids, one after another, are the texts', for a ChunkEncoder. Cuts before a space or line break
+        between two other characters and before an ASCII mark after a letter or digit, where every split of the pattern
+        ends. Texts with runs of white space are split by the pattern itself, and those with a special token's string,
+        which is a piece of its own."""
+        raw = [utf8(t) for t in texts]
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))))
+        data = b"".join(raw)
+        byte, kind = (np.frombuffer(x, np.uint8) for x in (data, data.translate(_KIND)))
+        space, mark = kind >= _SPACE, kind == _MARK
+        cut = space.copy()
+        cut[1:] |= mark[1:] & (kind[:-1] == _ALNUM)
+        wide = np.flatnonzero(mark[2:] & (byte[:-2] == 0xC3)) + 2
+        cut[wide[_LATIN[byte[wide - 1]]]] = True
+        odd = [np.flatnonzero(space[1:] & space[:-1]) + 1, np.flatnonzero(kind == _OTHER_SPACE)]
+        lead = np.flatnonzero(kind == _LEAD)
+        if len(lead):
+            first, second, third = (np.append(byte, [0, 0])[lead + k].astype(np.int64) for k in range(3))
+            odd.append(lead[np.isin(first << 16 | second << 8 | np.where(first < 0xE0, 0, third), _WIDE_SPACE)])
+        if self.special_bytes is not None and b"<|" in data:
+            odd.append(np.array([m.start() for m in self.special_bytes.finditer(data)], np.int64))
+        for i in np.unique(np.searchsorted(bounds, np.concatenate(odd), "right") - 1).tolist():
+            cut[bounds[i] : bounds[i + 1]] = False
+            sizes = [len(utf8(p)) for p in self.split(texts[i])]
+            cut[bounds[i] + np.cumsum(sizes[:-1], dtype=np.int64)] = True
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        at = np.flatnonzero(cut)
+        offsets = np.append(at, len(data))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(at, bounds)
+
+    def split(self, text: str) -> list[str]:
+        """What the pattern finds in a text, and special tokens' strings."""
+        out, done = [], 0
+        for m in self.special.finditer(text) if self.special is not None and "<|" in text else ():
+            out += [*_FIND(text[done : m.start()]), m[0]]
+            done = m.end()
+        return out + _FIND(text[done:])
 
     def encode_chunks(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has: the pieces' distinct words are merged together."""
         numbers: dict[str, int] = {}
         used, counts, special = [], [], set()
         for p in map(text_of, pieces):
-            if p[:1] == SPECIAL:
+            if p in self.added:
                 words = [p]
                 special.add(p)
-            elif p[:1] == LITERAL:
-                words = _FIND(p[1:])
             else:
-                words = _FIND(p if p[:1] == "\n" else " " + p)
+                words = _FIND(p)
             counts.append(len(words))
             used += words
         for w in used:
@@ -110,7 +133,7 @@ class BpeModel:
         start, size = ends[:-1], np.diff(ends)
         for w in special:
             start[numbers[w]], size[numbers[w]] = len(ids), 1
-            ids = np.append(ids, np.int32(self.added[w[1:]]))
+            ids = np.append(ids, np.int32(self.added[w]))
         at = np.fromiter(map(numbers.__getitem__, used), np.int64, len(used))
         totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[at])])
         last = np.cumsum(np.array(counts, np.int64))

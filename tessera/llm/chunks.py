@@ -23,11 +23,11 @@ CACHE_CHUNKS, CACHE_BYTES, CACHE_IDS = 900_000, 15_000_000, 4_500_000
 
 
 class ChunkEncoder:
-    """ids of texts. split: a text's pieces as a list, or as one string with a space between each two; encode: the ids
-    of several pieces, given as bytes (text_of), flat, and how many each has."""
+    """ids of texts. cut: all texts' pieces in order, as bytes, and where each text's pieces start (one more entry: the
+    end); encode: the ids of several pieces (text_of), flat, and how many each has."""
 
-    def __init__(self, split: Callable[[str], str | list[str]], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.split, self.encode = split, encode
+    def __init__(self, cut: Callable[[list[str]], tuple[pa.Array, np.ndarray]], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.cut, self.encode = cut, encode
         self._clear()
 
     def _clear(self) -> None:
@@ -70,7 +70,7 @@ class ChunkEncoder:
         """The ids of all texts one after another, and where each text's ids start (one more entry: the end)."""
         if self._full(1):
             self._shrink()
-        pieces, ends = self._pieces(texts)
+        pieces, ends = self.cut(texts)
         pieces = pieces.dictionary_encode()
         names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
@@ -84,32 +84,21 @@ class ChunkEncoder:
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         return gather(self.flat, self.start[at], size), stop[ends]
 
-    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """All texts' pieces in order, and where each text's pieces start (one more entry: the end)."""
-        split = [self.split(t) for t in texts]
-        listed = np.fromiter((not isinstance(x, str) for x in split), bool, len(split))
-        joined = pc.split_pattern(pa.array([_utf8(x) for x in split if isinstance(x, str)], pa.large_binary()), " ")
-        lists = [x for x in split if not isinstance(x, str)]
-        pieces = pa.concat_arrays([joined.flatten(), pa.array([_utf8(p) for x in lists for p in x], pa.large_binary())])
-        counts = np.empty(len(split), np.int64)
-        counts[~listed], counts[listed] = np.diff(joined.offsets.to_numpy()), [len(x) for x in lists]
-        ends = np.append(0, np.cumsum(counts))
-        if lists:  # these stand behind the others
-            order = np.argsort(listed, kind="stable")
-            start = np.empty(len(split), np.int64)
-            start[order] = np.cumsum(counts[order]) - counts[order]
-            pieces = pieces.take(pa.array(gather(np.arange(len(pieces)), start, counts)))
-        return pieces, ends
-
 
 def text_of(piece: bytes) -> str:
     return piece.decode("utf-8", "surrogatepass")
 
 
-def _utf8(text: str) -> bytes:
+def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def cut_at_spaces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces between spaces, for a ChunkEncoder."""
+    pieces = pc.split_pattern(pa.array(map(utf8, texts), pa.large_binary()), " ")
+    return pieces.flatten(), pieces.offsets.to_numpy()
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at start, one after another."""
     stop = np.cumsum(size)
@@ -122,13 +111,13 @@ def _ends_word(text: str) -> bool:
     return last.isalnum() if last.isascii() else normalize("NFC", last).lower().isalnum()
 
 
-def cut_marks(text: str, prefix: str) -> str:
-    """text with " " + prefix before each comma or full stop that ends a word before a space, so that words are
-    pieces without them. Split patterns end a token between a letter or digit and such a mark; where something
-    else stands before one, those marks stay as they are throughout the text."""
+def cut_marks(text: str) -> str:
+    """text with a space before each comma or full stop that ends a word before a space, so that words are pieces
+    without them. Split patterns end a token between a letter or digit and such a mark; where something else stands
+    before one, those marks stay as they are throughout the text."""
     for mark in (", ", ". "):
         if mark in text:
             parts = text.split(mark)
             if all(map(_ends_word, {p[-1:] for p in parts[:-1]})):
-                text = f" {prefix}{mark}".join(parts)
+                text = f" {mark}".join(parts)
     return text

@@ -10,18 +10,18 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-from tessera.llm.chunks import ChunkEncoder, cut_marks, gather, text_of
+from tessera.llm.chunks import ChunkEncoder, cut_at_spaces, cut_marks, gather, text_of
 
 #: Pieces that one call of the library gets.
 JOINED = 2000
-#: A line break or none, letters that every version of Unicode has as such (to U+00FF), and marks: where byte-level split
-#: patterns cut a piece is certain.
-_WORD = re.compile(rb"(\n?)((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@[-`{-~]*)").fullmatch
+#: A line break or none and a single word of a byte-level split pattern: letters that every version of Unicode has as
+#: such (to U+00FF), digits or marks, with a space before them or none.
+_WORD = re.compile(rb"(\n?)( ?(?:(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++|[0-9]++|[!-/:-@[-`{-~]++))").fullmatch
 
 
-def _white_space_pieces(text: str) -> str:
+def _white_space_pieces(texts: list[str]):
     """Pieces for a tokenizer that drops white space, as no token crosses a space or a line break."""
-    return cut_marks(text.replace("\n", " "), "")
+    return cut_at_spaces([cut_marks(t.replace("\n", " ")) for t in texts])
 
 
 def _one_word(piece: str) -> bool:
@@ -44,25 +44,19 @@ def _byte_level_words(tokenizer) -> Callable[[list[bytes]], tuple[list[int], lis
     tokenize = model.tokenize
     model._resize_cache(0)  # words come once
 
-    @lru_cache(maxsize=10_000)
-    def run(raw: bytes) -> list[int]:
-        return [t.id for t in tokenize(raw.decode("latin-1").translate(alphabet))]
-
-    space, line = alphabet[32], run(b"\n")
+    space, line = alphabet[32], [t.id for t in tokenize(alphabet[10])]
 
     def words(pieces: list[bytes]) -> tuple[list[int], list[int]]:
         flat: list[int] = []
         sizes: list[int] = []
         for p in pieces:
             held = len(flat)
-            if p.isalpha():
-                flat += [t.id for t in tokenize(space + p.decode())]
+            if p[1:].isalpha() and p[:1] == b" ":
+                flat += [t.id for t in tokenize(space + p[1:].decode())]
             elif (m := _WORD(p)) is not None:
-                broken, letters, marks = m.groups()
+                broken, word = m.groups()
                 flat += line if broken else []
-                text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(alphabet)
-                flat += [t.id for t in tokenize(text if broken else space + text)]
-                flat += run(marks) if marks else []
+                flat += [t.id for t in tokenize(word.decode("latin-1").translate(alphabet))]
             sizes.append(len(flat) - held)
         return flat, sizes
 
@@ -72,12 +66,12 @@ def _byte_level_words(tokenizer) -> Callable[[list[bytes]], tuple[list[int], lis
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """Encodes as Tokenizer.from_file(path) does with add_special_tokens=False. Byte-level files without a
-    normaliser are cut as in bpe.BpeModel.split; files that split on white space and drop it, at white space.
+    normaliser are cut as in bpe.BpeModel.cut; files that split on white space and drop it, at white space.
 
-    In byte-level files words, also with marks behind them, are encoded by the library's model alone. Pieces whose first
-    or last id shows itself are encoded many at a time, as one text: in byte-level files those with a space or line break
-    before them and none within, in the others single words, whose last token has an end-of-word suffix. All other pieces
-    are encoded one by one.
+    In byte-level files single words are encoded by the library's model alone. Pieces whose first or last id shows itself
+    are encoded many at a time, as one text: in byte-level files those with a space or line break before them and none
+    within, in the others single words, whose last token has an end-of-word suffix. All other pieces are encoded one by
+    one.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -90,22 +84,21 @@ def encoder(path: str) -> ChunkEncoder:
     keeps_spaces = tokenizer.normalizer is None
     words = _byte_level_words(tokenizer) if keeps_spaces else None
     if keeps_spaces:
-        from tessera.llm.bpe import LITERAL, SPECIAL, model
+        from tessera.llm.bpe import model
 
-        split = model(path).split
-        surrogate = b"\xed\xa0"  # how LITERAL and SPECIAL start
+        cut = model(path).cut
         edge[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
 
         def together(pieces: list[bytes]) -> list[bool]:
-            return [p[:2] != surrogate and p[-1:] > b" " for p in pieces]
+            return [p[:1] in (b" ", b"\n") and not (t := text_of(p))[1:2].isspace() and not t[-1].isspace() for p in pieces]
 
         def joined_text(pieces: list[bytes]) -> str:
-            return (b" " + b" ".join(pieces)).replace(b" \n", b"\n").decode()
+            return b"".join(pieces).decode()
 
         def plain(piece: str) -> str:
-            return piece[1:] if piece[:1] in (LITERAL, SPECIAL) else piece if piece[:1] == "\n" else " " + piece
+            return piece
     else:
-        split = _white_space_pieces
+        cut = _white_space_pieces
         edge[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
         def together(pieces: list[bytes]) -> list[bool]:
@@ -119,14 +112,15 @@ def encoder(path: str) -> ChunkEncoder:
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, flat, and how many each has."""
-        many, done = np.array(together(pieces), bool), np.zeros(len(pieces), bool)
-        flat, sizes = [np.empty(0, np.int32)], []
+        flat, sizes, done = [np.empty(0, np.int32)], [], np.zeros(len(pieces), bool)
         if words is not None:
             ids, each = words(pieces)
             each = np.array(each, np.int64)
             done = each > 0
             flat.append(np.array(ids, np.int32))
             sizes.append(each[done])
+        left = np.flatnonzero(~done)
+        many = np.array(together([pieces[i] for i in left.tolist()]), bool)
 
         def alone(group: list[bytes]) -> None:
             texts = [plain(text_of(p)) for p in group]
@@ -134,7 +128,7 @@ def encoder(path: str) -> ChunkEncoder:
             flat.extend(np.array(x, np.int32) for x in each)
             sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
 
-        ready, joined, single = (np.flatnonzero(x).tolist() for x in (done, many & ~done, ~many & ~done))
+        ready, joined, single = (x.tolist() for x in (np.flatnonzero(done), left[many], left[~many]))
         for start in range(0, len(joined), JOINED):
             group = [pieces[i] for i in joined[start : start + JOINED]]
             (found,) = tokenizer.encode_batch_fast([joined_text(group)], add_special_tokens=False)
@@ -152,4 +146,4 @@ def encoder(path: str) -> ChunkEncoder:
         start[order], in_order[order] = np.cumsum(size) - size, size
         return gather(np.concatenate(flat), start, in_order), in_order
 
-    return ChunkEncoder(split, encode)
+    return ChunkEncoder(cut, encode)
