@@ -224,8 +224,9 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         start_size = np.empty(len(x), np.int64)
         start_size[order] = np.repeat(found, times)
         for t in range(first, stop, STRETCH):
-            these = slice((t - first) * lanes, min((t + STRETCH - first) * lanes, len(x)))
-            slot[these] = place = model.slots(grid[t : t + STRETCH].reshape(-1)[: len(x[these])], last1[these])
+            end = min(t + STRETCH, stop)
+            these = slice((t - first) * lanes, (end - first) * lanes)
+            slot[these] = place = model.slots(grid[t:end].reshape(-1), last1[these])
             held = model.guess_share[place]
             hit[these] = has = held >> _MIX_BITS == x[these]
             share = held & _MIX_MASK
@@ -237,8 +238,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
             start1, size1 = held >> 32, held & _LOWER
             held = model.start_size0[x[these][strange]]
             start0, size0 = held >> 32, held & _LOWER
-            step_of = np.searchsorted(strange, np.arange(len(start) // lanes + 1) * lanes).tolist()
-            for k in range(len(start) // lanes):
+            step_of = np.searchsorted(strange, np.arange(end - t + 1) * lanes).tolist()
+            for k in range(end - t):
                 here = slice(k * lanes, (k + 1) * lanes)
                 unit = span >> _MIX_BITS
                 low += unit * start[here]
