@@ -24,10 +24,10 @@ CACHE_CHUNKS, CACHE_BYTES, CACHE_IDS = 900_000, 15_000_000, 4_500_000
 
 class ChunkEncoder:
     """ids of texts. cut: all texts' pieces in order, as bytes, and where each text's pieces start (one more entry: the
-    end); encode: the ids of several pieces (text_of), flat, and how many each has."""
+    end); encode: the ids of several pieces (text_of), flat, and how many each has; room: the share of the cache's bounds."""
 
-    def __init__(self, cut: Callable[[list[str]], tuple[pa.Array, np.ndarray]], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.cut, self.encode = cut, encode
+    def __init__(self, cut: Callable[[list[str]], tuple[pa.Array, np.ndarray]], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], room: float = 1):
+        self.cut, self.encode, self.room = cut, encode, room
         self._clear()
 
     def _clear(self) -> None:
@@ -38,6 +38,7 @@ class ChunkEncoder:
         self.again = np.zeros(1 << 14, bool)  # pieces that were met again since they came or were kept
 
     def _full(self, share: float) -> bool:
+        share *= self.room
         return len(self.index) > share * CACHE_CHUNKS or self.bytes > share * CACHE_BYTES or self.used > share * CACHE_IDS
 
     def _shrink(self) -> None:

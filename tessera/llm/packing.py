@@ -140,7 +140,7 @@ def pack_documents(
                     del waiting[d]
             return pa.RecordBatch.from_arrays(out, NAMES)
 
-        for b in slices(batches, limit=SLICE_CHARS):
+        for b in slices(batches, limit=SLICE_CHARS // 2):
             ids, ends = encode(b.column(1).to_pylist())
             stops = ends.tolist()
             placed = []
